@@ -10,20 +10,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PAYLOAD_ROWS = 1024
+MEASURES = [
+    "temperature_2m",
+    "relative_humidity_2m",
+    "precipitation",
+    "wind_speed_10m",
+    "cloud_cover",
+    "pressure_msl",
+]
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
+DAILY_SERIES = [
+    "time",
+    "temperature_2m_max",
+    "temperature_2m_min",
+    "precipitation_sum",
+    "wind_speed_10m_max",
+    "sunrise",
+]
 
 
 def _gap(every: int, value: Column) -> Column:
     return F.when(F.col("event_id") % every != 0, value)
 
 
-def hourly_from_events(events: DataFrame, constant_city: str | None = None) -> DataFrame:
+def _iso(name: str) -> Column:
+    """A zone-less timestamp as ISO text, without a detour over a zone."""
+    return F.translate(F.col(name).cast("string"), " ", "T")
+
+
+def hourly_from_events(
+    events: DataFrame, constant_city: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Raw hourly rows (the staged measures and the metadata) from events.
 
     ``constant_city`` is given one unchanging temperature: deviation zero.
+    ``keep`` names event columns to carry along.
     """
     kind, value = F.col("event_type"), F.col("value")
     temperature = _gap(17, value)
@@ -46,4 +70,86 @@ def hourly_from_events(events: DataFrame, constant_city: str | None = None) -> D
         F.lit("UTC").alias("timezone"),
         (F.col("ts") + F.make_dt_interval(days=F.lit(1))).alias("ingestion_timestamp"),
         F.to_date("ts").cast("string").alias("batch_id"),
+        *keep,
+    )
+
+
+def cities_from_events(events: DataFrame) -> DataFrame:
+    """The dimension that goes with the rows: one row per event type."""
+    names = ["city_id", "city_name", "latitude", "longitude", "timezone"]
+    return hourly_from_events(events).select(*names).distinct()
+
+
+def documents_from_events(events: DataFrame, broken: bool = False) -> DataFrame:
+    """Payload documents of one city and week each: (request columns, document).
+
+    A document holds the events of one block of ``PAYLOAD_ROWS`` event ids, so
+    its arrays stay short however many events a city and week has. ``broken``
+    spoils the documents of all cities but one, each city in another way.
+    """
+    request = ["city_id", "week", "block"]
+    place = ["latitude", "longitude", "timezone"]
+    blocks = events.withColumn("block", F.floor(F.col("event_id") / PAYLOAD_ROWS))
+    rows = (
+        hourly_from_events(blocks, keep=("block",))
+        .withColumn("day", F.to_date("time"))
+        .withColumn("week", F.to_date(F.date_trunc("week", "day")))
+        # One exchange by document serves the days as well.
+        .repartition(*request)
     )
+    reading = F.struct(_iso("time").alias("time"), *MEASURES)
+    days = rows.groupBy(*request, *place, "day").agg(
+        F.array_sort(F.collect_list(reading)).alias("readings"),
+        F.max("temperature_2m").alias("temperature_2m_max"),
+        F.min("temperature_2m").alias("temperature_2m_min"),
+        F.sum("precipitation").alias("precipitation_sum"),
+        F.max("wind_speed_10m").alias("wind_speed_10m_max"),
+    )
+    summary = F.struct(
+        F.col("day").cast("string").alias("time"),
+        "temperature_2m_max",
+        "temperature_2m_min",
+        "precipitation_sum",
+        "wind_speed_10m_max",
+        F.concat(F.col("day").cast("string"), F.lit("T08:00")).alias("sunrise"),
+    )
+    grouped = days.groupBy(*request, *place).agg(
+        F.flatten(F.transform(_in_day_order(F.col("readings")), lambda d: d["value"]))
+        .alias("hours"),
+        F.transform(_in_day_order(summary), lambda d: d["value"]).alias("days"),
+    )
+
+    def series(rows: str, name: str) -> Column:
+        return F.transform(rows, lambda r: r[name])
+
+    city = F.col("city_id")
+    times, temperatures = series("hours", "time"), series("hours", "temperature_2m")
+    if broken:
+        marked = F.transform(times, lambda t: F.concat(F.lit("?"), t))
+        times = (
+            F.when(city == "signup", F.array().cast("array<string>"))
+            .when(city == "purchase", marked)
+            .otherwise(times)
+        )
+        temperatures = F.when(city == "view", F.array_append(temperatures, F.lit(0.0))).otherwise(
+            temperatures
+        )
+    hourly = F.struct(
+        times.alias("time"),
+        temperatures.alias("temperature_2m"),
+        *[series("hours", m).alias(m) for m in MEASURES if m != "temperature_2m"],
+    )
+    daily = F.struct(*[series("days", name).alias(name) for name in DAILY_SERIES])
+    if broken:
+        daily = F.when(city != "error", daily)
+    document = F.to_json(F.struct(*place, hourly.alias("hourly"), daily.alias("daily")))
+    return grouped.select(
+        "city_id",
+        F.col("week").alias("start_date"),
+        F.date_add("week", 6).alias("end_date"),
+        document.alias("document"),
+    )
+
+
+def _in_day_order(value: Column) -> Column:
+    return F.array_sort(F.collect_list(F.struct("day", value.alias("value"))))
