@@ -10,7 +10,7 @@ VARIANTS = ("model", "bootstrap")
 
 def check_variant(variant: str) -> None:
     if variant not in VARIANTS:
-        raise ValueError(f"Unknown variant: {variant}. Available: {list(VARIANTS)}")
+        raise ValueError(f"no such variant: {variant}; there are {VARIANTS}")
 
 
 def _aggregates() -> list[Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,30 +21,48 @@ RELATIONSHIPS = {("staging.stg_weather", "city_id"): "raw.weather_hourly"}
 # --- End of fixed values ----------------------------------------------------
 
 
-def _result(counts: DataFrame, table: str, check: str, columns: list[str]) -> DataFrame:
-    return counts.unpivot([], columns, "column_name", "failures").select(
-        F.lit(table).alias("table_name"),
-        F.lit(check).alias("check_name"),
-        "column_name",
-        F.col("failures").cast("bigint").alias("failures"),
-    )
+class Check(NamedTuple):
+    """A rule that one pass over a table can count: how many rows break it."""
+
+    name: str
+    column: str
+    failures: Column
 
 
-def not_null(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """NULLs per column; one pass over the table, one row per task shuffled."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return _result(counts, table, "not_null", columns)
+def not_null(columns: list[str]) -> list[Check]:
+    return [Check("not_null", c, F.count_if(F.col(c).isNull())) for c in columns]
 
 
-def filled_gaps(stg: DataFrame, table: str) -> DataFrame:
+def filled_gaps() -> list[Check]:
     """Missing measurements by the flags of staging. Once filled they are not
     NULL any more, so ``not_null`` cannot see them."""
-    columns = ["temperature_2m", "precipitation"]
-    counts = stg.agg(
-        F.coalesce(F.sum("has_missing_temp"), F.lit(0)).alias("temperature_2m"),
-        F.coalesce(F.sum("has_missing_precip"), F.lit(0)).alias("precipitation"),
+    flags = {"temperature_2m": "has_missing_temp", "precipitation": "has_missing_precip"}
+    return [Check("filled", c, F.coalesce(F.sum(f), F.lit(0))) for c, f in flags.items()]
+
+
+def value_range(limits: dict[str, tuple[float, float]]) -> list[Check]:
+    """Values outside the caller's limits, both ends allowed; NULLs do not count."""
+    return [
+        Check("range", c, F.count_if(~F.col(c).between(low, high)))
+        for c, (low, high) in limits.items()
+    ]
+
+
+def tally(df: DataFrame, table: str, checks: list[Check]) -> DataFrame:
+    """All ``checks`` in one pass: one row per task is shuffled, and the counts
+    of the single row that results are turned into one row per check."""
+    counted = df.agg(
+        F.array(*[
+            F.struct(
+                F.lit(table).alias("table_name"),
+                F.lit(check.name).alias("check_name"),
+                F.lit(check.column).alias("column_name"),
+                check.failures.cast("bigint").alias("failures"),
+            )
+            for check in checks
+        ]).alias("results")
     )
-    return _result(counts, table, "filled", columns)
+    return counted.select(F.inline("results"))
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,9 +75,8 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unique(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    name = ",".join(keys)
-    counts = duplicates(df, keys).agg(F.count(F.lit(1)).alias(name))
-    return _result(counts, table, "unique", [name])
+    """How many keys occur more than once."""
+    return tally(duplicates(df, keys), table, [Check("unique", ",".join(keys), F.count(F.lit(1)))])
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -73,32 +91,32 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def relationships(child: DataFrame, parent: DataFrame, table: str, key: str) -> DataFrame:
-    counts = orphans(child, parent, key).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(key))
-    return _result(counts, table, "relationships", [key])
-
-
-def value_range(
-    df: DataFrame, table: str, limits: dict[str, tuple[float, float]]
-) -> DataFrame:
-    """Values outside the caller's limits, both ends allowed; NULLs do not count."""
-    counts = df.agg(*[
-        F.count_if(~F.col(c).between(low, high)).alias(c) for c, (low, high) in limits.items()
-    ])
-    return _result(counts, table, "range", list(limits))
+    """How many rows of ``child`` have a key that ``parent`` lacks."""
+    failures = F.coalesce(F.sum("rows"), F.lit(0))
+    return tally(orphans(child, parent, key), table, [Check("relationships", key, failures)])
 
 
 def union(results: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
-def not_null_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """The declared not-null checks of the given tables."""
-    return union([not_null(df, name, NOT_NULL[name]) for name, df in tables.items()])
+def not_null_checks(
+    tables: dict[str, DataFrame], more: dict[str, list[Check]] | None = None
+) -> DataFrame:
+    """The declared not-null checks of the given tables, one pass over each.
+    ``more`` checks of a table go with the same pass."""
+    extra = more or {}
+    return union([
+        tally(df, name, not_null(NOT_NULL[name]) + extra.get(name, []))
+        for name, df in tables.items()
+    ])
 
 
-def declared_checks(tables: dict[str, DataFrame]) -> DataFrame:
+def declared_checks(
+    tables: dict[str, DataFrame], more: dict[str, list[Check]] | None = None
+) -> DataFrame:
     """All declared checks: 16 not-null, one unique, one relationships."""
-    results = [not_null_checks(tables)]
+    results = [not_null_checks(tables, more)]
     results += [unique(tables[name], name, keys) for name, keys in UNIQUE.items()]
     results += [
         relationships(tables[child], tables[parent], child, key)

@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from isobar.functions.lineage import batch_id_of
 from isobar.sources.cities import request_range
 from isobar.sources.landing import requested, scan_landing
-from isobar.sources.payload import all_rows, enrich, ingest_stats, judge, stamped, within
+from isobar.sources.payload import (
+    all_rows,
+    enrich,
+    ingest_stats,
+    judge,
+    refused,
+    stamped,
+    within,
+)
 from isobar.sources.raw import scan_raw, write_raw
 
 
@@ -18,24 +26,28 @@ def ingest(
     landing: str,
     raw_root: str,
     dimension: DataFrame,
-    city_ids: list[str],
     mode: str,
     run_ts: datetime,
+    city_ids: list[str] | None = None,
     as_of: date | None = None,
     start: str | None = None,
     end: str | None = None,
     form: str = "lines",
     on_failure: str = "fail",
+    refused_path: str | None = None,
 ) -> DataFrame:
     """Land the requested days of the given cities and return the run's statistics.
 
     Both grains are written by one job, so a run that fails leaves nothing
     behind. Refused documents give no rows; ``on_failure`` says whether a
-    document that cannot become rows stops the run.
+    document that cannot become rows stops the run or is refused as well. With
+    ``refused_path`` the refused documents and the reasons are appended there.
     """
     first, last, _ = request_range(mode, as_of, start, end)
-    docs = requested(scan_landing(spark, landing, form), city_ids, first, last)
+    docs = requested(scan_landing(spark, landing, form), first, last, city_ids)
     judged = judge(stamped(enrich(docs, dimension), run_ts))
     write_raw(within(all_rows(judged, on_failure), first, last), raw_root)
+    if refused_path is not None:
+        refused(judged).write.mode("append").partitionBy("batch_id").parquet(refused_path)
     written = scan_raw(spark, "hourly", raw_root)
     return ingest_stats(written.where(F.col("batch_id") == batch_id_of(run_ts)))

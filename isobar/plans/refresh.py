@@ -15,7 +15,7 @@ from isobar.operators.daily import (
     daily_moments,
     merged_city_stats,
 )
-from isobar.operators.quality import declared_checks, filled_gaps, union, value_range
+from isobar.operators.quality import declared_checks, filled_gaps, value_range
 from isobar.operators.snapshots import latest_rows
 from isobar.operators.staging import staging
 from isobar.plans.tables import Layers, build_once, full_refresh
@@ -82,11 +82,7 @@ def check(
     tables: dict[str, DataFrame], limits: dict[str, tuple[float, float]] | None = None
 ) -> DataFrame:
     """All declared checks, the gaps that staging filled, and the given ranges."""
-    stg = tables[STAGING]
-    results = [declared_checks(tables), filled_gaps(stg, STAGING)]
-    if limits:
-        results.append(value_range(stg, STAGING, limits))
-    return union(results)
+    return declared_checks(tables, {STAGING: filled_gaps() + value_range(limits or {})})
 
 
 def record(layers: Layers, results: DataFrame, run_ts: datetime) -> DataFrame:

@@ -212,7 +212,7 @@ LIMITS = {"temperature_2m": (0.5, 200.0), "precipitation": (0.0, 20.0)}
 
 
 def dq_range(spark, sf_dir):
-    return quality.value_range(_stg(spark, sf_dir), layers_plan.STAGING, LIMITS)
+    return quality.tally(_stg(spark, sf_dir), layers_plan.STAGING, quality.value_range(LIMITS))
 
 
 def layer_row_counts(spark, sf_dir):
@@ -280,10 +280,8 @@ def payload_quarantine(spark, sf_dir):
 
 
 def _ingest(spark, sf_dir, root, **request):
-    dimension = _dimension(spark, sf_dir)
-    known = [row.city_id for row in dimension.select("city_id").collect()]
-    options = {"mode": "backfill", "run_ts": RUN_TS, "city_ids": known, **request}
-    return ingest(spark, _landing(spark, sf_dir), root, dimension, **options)
+    options = {"mode": "backfill", "run_ts": RUN_TS, **request}
+    return ingest(spark, _landing(spark, sf_dir), root, _dimension(spark, sf_dir), **options)
 
 
 def ingest_stats(spark, sf_dir):

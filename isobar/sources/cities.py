@@ -30,7 +30,7 @@ def require_known(city_ids: list[str]) -> list[str]:
     """The given ids, or an error that names the unknown ones."""
     unknown = sorted(set(city_ids) - set(known_city_ids()))
     if unknown:
-        raise ValueError(f"Unknown city: {', '.join(unknown)}. Available: {known_city_ids()}")
+        raise ValueError(f"no such city: {unknown}; the dimension has {known_city_ids()}")
     return city_ids
 
 
@@ -49,14 +49,14 @@ def request_range(
         return BACKFILL_START, BACKFILL_END, "archive"
     if mode == "incremental":
         if as_of is None:
-            raise ValueError("as_of is required for incremental mode")
+            raise ValueError("an incremental request needs as_of, the day it is made")
         yesterday = (as_of - timedelta(days=1)).isoformat()
         return yesterday, yesterday, "forecast"
     if mode == "custom":
         if not start or not end:
-            raise ValueError("start and end are required for custom mode")
+            raise ValueError("a custom request needs its first and last day")
         return start, end, "archive"
-    raise ValueError(f"Unknown mode: {mode}. Available: {list(MODES)}")
+    raise ValueError(f"no such mode: {mode}; there are {MODES}")
 
 
 def request_manifest(

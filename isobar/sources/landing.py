@@ -28,7 +28,7 @@ FORMS = ("lines", "documents")
 
 def _reader(reader, form: str):
     if form not in FORMS:
-        raise ValueError(f"Unknown form: {form}. Available: {list(FORMS)}")
+        raise ValueError(f"no such form: {form}; there are {FORMS}")
     return (
         reader.schema(LANDED)
         .option("mode", "PERMISSIVE")
@@ -54,14 +54,18 @@ def stream_landing(
     return _with_landing_time(reader.json(path))
 
 
-def requested(docs: DataFrame, city_ids: list[str], start: str, end: str) -> DataFrame:
-    """Documents that can hold rows of the request. The conditions are on
-    directory columns, so other documents are not read at all."""
-    return docs.where(
-        F.col("city_id").isin(city_ids)
-        & (F.col("start_date") <= F.lit(end).cast("date"))
+def requested(
+    docs: DataFrame, start: str, end: str, city_ids: list[str] | None = None
+) -> DataFrame:
+    """Documents that can hold rows of the request, of the given cities or all.
+
+    The conditions are on directory columns, so other documents are not read.
+    """
+    chosen = docs.where(
+        (F.col("start_date") <= F.lit(end).cast("date"))
         & (F.col("end_date") >= F.lit(start).cast("date"))
     )
+    return chosen if city_ids is None else chosen.where(F.col("city_id").isin(city_ids))
 
 
 def write_landing(documents: DataFrame, path: str, mode: str = "append") -> None:

@@ -79,6 +79,14 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
+def refused(judged: DataFrame) -> DataFrame:
+    """The documents that give no rows, and why."""
+    reason = F.coalesce("reject_reason", "failure_reason")
+    return judged.select(
+        "city_id", "start_date", "end_date", "landed_at", reason.alias("reason"), "batch_id"
+    ).where(F.col("reason").isNotNull())
+
+
 def verdicts(judged: DataFrame) -> DataFrame:
     """How many documents of each request were accepted, refused or failed, and why."""
     return judged.groupBy(
@@ -125,7 +133,7 @@ def _usable(readings: Column, on_failure: str) -> Column:
     filter would be pushed below and judge every document a second time.
     """
     if on_failure not in ("fail", "quarantine"):
-        raise ValueError(f"Unknown policy: {on_failure}. Available: ['fail', 'quarantine']")
+        raise ValueError(f"no such policy: {on_failure}; there are fail and quarantine")
     good = F.col("reject_reason").isNull() & F.col("failure_reason").isNull()
     usable = F.when(good, readings)
     if on_failure == "fail":
@@ -188,8 +196,10 @@ def all_rows(judged: DataFrame, on_failure: str = "fail") -> DataFrame:
 
 
 def within(rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows of the requested days, both ends included."""
-    return rows.where(F.to_date("time").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Rows of the requested days, both ends included. A row without a time is
+    kept: the not-null check is to find it."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return rows.where(F.col("time").isNull() | F.to_date("time").between(first, last))
 
 
 def ingest_stats(rows: DataFrame) -> DataFrame:
