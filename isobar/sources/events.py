@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string"
+)
 PAYLOAD_ROWS = 1024
 MEASURES = [
     "temperature_2m",
@@ -18,10 +22,6 @@ MEASURES = [
     "cloud_cover",
     "pressure_msl",
 ]
-
-
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
 DAILY_SERIES = [
     "time",
     "temperature_2m_max",
@@ -32,8 +32,8 @@ DAILY_SERIES = [
 ]
 
 
-def _gap(every: int, value: Column) -> Column:
-    return F.when(F.col("event_id") % every != 0, value)
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def _iso(name: str) -> Column:
@@ -49,27 +49,25 @@ def hourly_from_events(
     ``constant_city`` is given one unchanging temperature: deviation zero.
     ``keep`` names event columns to carry along.
     """
-    kind, value = F.col("event_type"), F.col("value")
-    temperature = _gap(17, value)
+    temperature = "if(event_id % 17 = 0, null, value)"
     if constant_city is not None:
-        temperature = F.when(kind == constant_city, F.lit(20.0)).otherwise(temperature)
-    wet = F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).otherwise(value / 10)
-    return events.select(
-        F.col("ts").alias("time"),
-        kind.alias("city_id"),
-        F.concat(F.upper(F.substring(kind, 1, 1)), kind.substr(F.lit(2), F.length(kind)))
-        .alias("city_name"),
-        temperature.alias("temperature_2m"),
-        _gap(29, F.col("event_id") % 101).alias("relative_humidity_2m"),
-        _gap(23, wet).alias("precipitation"),
-        _gap(37, value / 5).alias("wind_speed_10m"),
-        _gap(31, F.col("user_id") % 101).alias("cloud_cover"),
-        _gap(41, F.lit(1013.25) + value / 100).alias("pressure_msl"),
-        F.length(kind).cast("double").alias("latitude"),
-        (-F.length(kind)).cast("double").alias("longitude"),
-        F.lit("UTC").alias("timezone"),
-        (F.col("ts") + F.make_dt_interval(days=F.lit(1))).alias("ingestion_timestamp"),
-        F.to_date("ts").cast("string").alias("batch_id"),
+        temperature = f"if(event_type = '{constant_city}', 20.0D, {temperature})"
+    wet = "if(event_id % 3 = 0, 0.0D, value / 10)"
+    return events.selectExpr(
+        "ts as time",
+        "event_type as city_id",
+        "upper(left(event_type, 1)) || substr(event_type, 2) as city_name",
+        f"{temperature} as temperature_2m",
+        "if(event_id % 29 = 0, null, event_id % 101) as relative_humidity_2m",
+        f"if(event_id % 23 = 0, null, {wet}) as precipitation",
+        "if(event_id % 37 = 0, null, value / 5) as wind_speed_10m",
+        "if(event_id % 31 = 0, null, user_id % 101) as cloud_cover",
+        "if(event_id % 41 = 0, null, 1013.25D + value / 100) as pressure_msl",
+        "double(length(event_type)) as latitude",
+        "double(-length(event_type)) as longitude",
+        "'UTC' as timezone",
+        "ts + interval 1 day as ingestion_timestamp",
+        "string(date(ts)) as batch_id",
         *keep,
     )
 
