@@ -83,11 +83,13 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Key values of ``child`` that ``parent`` lacks, with the number of rows.
 
     Both sides are reduced to their distinct keys before they meet, so no row
-    of either table is moved, and a key held by many rows counts as one.
+    of either table is moved, and a key held by many rows counts as one. It is
+    an outer join on purpose: an anti join would be pushed below the count, and
+    the rows themselves would be joined.
     """
     held = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    known = parent.where(F.col(key).isNotNull()).select(key).distinct()
-    return held.join(known, key, "left_anti")
+    known = parent.where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(True).alias("known"))
+    return held.join(known, key, "left").where(F.col("known").isNull()).select(key, "rows")
 
 
 def relationships(child: DataFrame, parent: DataFrame, table: str, key: str) -> DataFrame:

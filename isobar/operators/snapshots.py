@@ -6,24 +6,48 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from isobar.operators.quality import duplicates
 from isobar.session import settle
 
 KEY = ["city_id", "time"]
 RECENCY = ["ingestion_timestamp", "batch_id"]
 
 
-def latest_rows(raw: DataFrame) -> DataFrame:
+#: up to this many keys (a few dozen bytes each) are broadcast
+BROADCAST_KEYS = 500_000
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each key: a maximum over structs instead of a window.
+
+    Copies combine map-side, so a key of many copies needs no task of its own.
+    Equal recency is decided by the remaining columns, and the outcome does not
+    depend on the order of rows.
+    """
+    rest = [c for c in rows.columns if c not in KEY + RECENCY]
+    newest = rows.groupBy(*KEY).agg(F.max(F.struct(*RECENCY, *rest)).alias("row"))
+    return newest.select(*KEY, "row.*").select(*rows.columns)
+
+
+def latest_rows(raw: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per city and time: the one ingested last.
 
-    A maximum over structs instead of a window: copies combine map-side, and a
-    key of many copies needs no sort of its own. Equal recency is decided by the
-    remaining columns, so the outcome does not depend on the order of rows. Rows
-    without a full key cannot be copies of one another and stay.
+    Overlaps are usually a small part of the table, so the keys that have copies
+    are found first, by shuffling keys alone. If they are few they are broadcast:
+    all other rows pass through unmoved, and only copies are shuffled. If they
+    are many, every row takes part in the aggregation. Rows without a full key
+    cannot be copies of one another and stay.
     """
-    keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in KEY])
-    rest = [c for c in raw.columns if c not in KEY + RECENCY]
-    newest = raw.where(keyed).groupBy(*KEY).agg(F.max(F.struct(*RECENCY, *rest)).alias("row"))
-    return newest.select(*KEY, "row.*").select(*raw.columns).unionByName(raw.where(~keyed))
+    copied = settle(duplicates(raw, KEY).select(*KEY), "copied-keys")
+    if copied.count() <= broadcast_keys:
+        keys = F.broadcast(copied)
+        single = raw.join(keys, KEY, "left_anti")
+        newest = _newest(raw.join(keys, KEY, "left_semi").select(*raw.columns))
+    else:
+        keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in KEY])
+        single = raw.where(~keyed)
+        newest = _newest(raw.where(keyed))
+    return single.select(*raw.columns).unionByName(newest)
 
 
 def high_water(raw: DataFrame) -> DataFrame:
