@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from isobar.functions.lineage import batch_id_of
 from isobar.sources.cities import request_range
@@ -20,6 +21,8 @@ from isobar.sources.payload import (
 )
 from isobar.sources.raw import scan_raw, write_raw
 
+log = logging.getLogger(__name__)
+
 
 def ingest(
     spark: SparkSession,
@@ -42,11 +45,27 @@ def ingest(
     behind. Refused documents give no rows; ``on_failure`` says whether a
     document that cannot become rows stops the run or is refused as well. With
     ``refused_path`` the refused documents and the reasons are appended there.
+
+    Documents and rows are counted while they are written. The statistics per
+    city are read back from the new batch, two narrow columns of one directory.
     """
     first, last, _ = request_range(mode, as_of, start, end)
     docs = requested(scan_landing(spark, landing, form), first, last, city_ids)
     judged = judge(stamped(enrich(docs, dimension), run_ts))
-    write_raw(within(all_rows(judged, on_failure), first, last), raw_root)
+    documents, rows = Observation("documents"), Observation("rows")
+    counted = judged.observe(
+        documents,
+        F.count(F.lit(1)).alias("read"),
+        F.count_if(F.coalesce("reject_reason", "failure_reason").isNotNull()).alias("refused"),
+    )
+    landed = within(all_rows(counted, on_failure), first, last).observe(
+        rows,
+        F.count_if(F.col("grain") == "hourly").alias("hourly"),
+        F.count_if(F.col("grain") == "daily").alias("daily"),
+    )
+    write_raw(landed, raw_root)
+    log.info("batch %s, %s to %s: documents %s, rows %s", batch_id_of(run_ts), first, last,
+             documents.get, rows.get)
     if refused_path is not None:
         refused(judged).write.mode("append").partitionBy("batch_id").parquet(refused_path)
     written = scan_raw(spark, "hourly", raw_root)

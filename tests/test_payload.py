@@ -153,6 +153,23 @@ def test_a_request_takes_only_its_cities_and_days(spark, tmp_path):
     assert rows.selectExpr("min(to_date(time)) = date'2026-02-08'").first()[0]
 
 
+def test_a_run_without_documents(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw"
+    land(landing, "paris", DAY, document(DAY))
+    request = {"start": "2020-01-01", "end": "2020-01-02"}
+    stats = ingest(spark, str(landing), root, cities(spark), "custom", RUN_TS, **request)
+    assert stats.count() == 0
+
+
+def test_a_run_counts_what_it_wrote(spark, tmp_path, caplog):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw"
+    land(landing, "paris", DAY, document(DAY))
+    land(landing, "tokyo", DAY, document(DAY, daily=None))
+    caplog.set_level("INFO", logger="isobar")
+    ingest(spark, str(landing), root, cities(spark), "custom", RUN_TS, start=DAY, end=DAY)
+    assert "documents {'read': 2, 'refused': 1}, rows {'hourly': 24, 'daily': 1}" in caplog.text
+
+
 def test_a_failing_run_leaves_nothing(spark, tmp_path):
     landing, root = tmp_path / "landing", f"{tmp_path}/raw"
     land(landing, "paris", DAY, document(DAY))
