@@ -340,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
                 case when city_id = 'error' then null else cloud_cover end as cloud_cover)
             from ({HOURLY})""",
         "full_refresh": daily(stg(BACKFILLED), updated=False),
+        "incremental_refresh": daily(stg()),
         "full_refresh_anomalies": anomalies(stg(BACKFILLED)),
         "table_listing": f"""
             with raw as ({RAW}), stg as ({stg(f'select * from ({RAW}) where {BACKFILL}')})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +25,26 @@ HOURLY, DAILY = "raw.weather_hourly", "raw.weather_daily"
 STAGING, STAGED_TABLE = "staging.stg_weather", "staging.weather_hourly"
 MART_DAILY, MART_ANOMALIES = "mart.weather_daily", "mart.weather_anomalies"
 RESULTS = "mart.dq_results"
+MOMENTS = "state.daily_moments"
+
+
+def days_of(rows: DataFrame) -> tuple[date, date]:
+    """First and last day of the given rows, for instance those of a new batch."""
+    return tuple(rows.agg(F.to_date(F.min("time")), F.to_date(F.max("time"))).first())
+
+
+def _moments(layers: Layers, stg: DataFrame, days: tuple[date, date] | None) -> DataFrame:
+    """The daily moments: of all rows, or of the given days with the stored rest.
+
+    The condition on days becomes a range on ``time`` in the scan. Rows without
+    a time belong to no day and are always taken anew.
+    """
+    if days is None:
+        return full_refresh(layers, daily_moments(stg), MOMENTS)
+    first, last = (F.lit(day).cast("date") for day in days)
+    anew = F.col("date").isNull() | F.col("date").between(first, last)
+    kept = layers.table(MOMENTS).where(~anew)
+    return full_refresh(layers, daily_moments(stg.where(anew)).unionByName(kept), MOMENTS)
 
 
 def refresh(
@@ -34,6 +54,7 @@ def refresh(
     variant: str = "model",
     fill: bool = True,
     newest_only: bool = False,
+    days: tuple[date, date] | None = None,
 ) -> dict[str, DataFrame]:
     """Staging and marts from raw rows, all replaced. Returns the five tables.
 
@@ -42,6 +63,10 @@ def refresh(
     the daily mart, whose moments also give the city statistics, and once for
     the scores. The marts are sorted inside files, not across them: readers get
     prunable row groups, and storing them needs no further exchange.
+
+    ``days`` says that only rows of these days, both included, have changed since
+    the last refresh with the same options. The aggregates of all other days are
+    then kept. Scores depend on the whole history and are always taken anew.
     """
     check_variant(variant)
     rows = latest_rows(hourly) if newest_only else hourly
@@ -53,7 +78,7 @@ def refresh(
     else:
         stg.createOrReplaceTempView(f"{layers.prefix}stg_weather")
 
-    moments = settle(daily_moments(stg), "daily-moments")
+    moments = _moments(layers, stg, days)
     mart = daily_from_moments(moments, variant).sortWithinPartitions("date", "city_id")
     stats = settle(merged_city_stats(moments), "city-stats")
     marked = anomalies(stg, stats, variant).sortWithinPartitions("time", "city_id")

@@ -14,7 +14,8 @@ from isobar.schema import LAYERS, LEGACY, RAW, conform
 
 @dataclass(frozen=True)
 class Layers:
-    """Databases raw, staging and mart, stored under ``root``.
+    """Databases raw, staging and mart, stored under ``root``, and one named state
+    for what a refresh keeps for the next one.
 
     ``prefix`` keeps several environments apart in one catalog.
     """
@@ -24,7 +25,7 @@ class Layers:
     prefix: str = ""
 
     def create(self) -> Layers:
-        for layer in LAYERS:
+        for layer in [*LAYERS, "state"]:
             location = f"{self.root}/{layer}"
             self.spark.sql(
                 f"CREATE DATABASE IF NOT EXISTS `{self.prefix}{layer}` LOCATION '{location}'"

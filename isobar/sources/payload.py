@@ -22,11 +22,11 @@ def _grain_size(grain: str) -> Column:
 
 def _ragged(grain: str) -> Column:
     """Some variable that is present has another length than ``time``."""
-    ragged = F.lit(False)
-    for name in VARIABLES[grain]:
-        array = F.col(f"{grain}.{name}")
-        ragged = ragged | (array.isNotNull() & (F.size(array) != _grain_size(grain)))
-    return ragged
+    tests = [
+        f"({grain}.{v} is not null and size({grain}.{v}) <> size({grain}.time))"
+        for v in VARIABLES[grain]
+    ]
+    return F.expr(" or ".join(tests))
 
 
 def _bad_time(grain: str) -> Column:
@@ -120,8 +120,8 @@ def _zipped(grain: str) -> Column:
     A variable that was not sent counts as an empty array, which zips to NULLs.
     Unequal lengths, which would zip to NULLs as well, have been judged before.
     """
-    arrays = [F.coalesce(F.col(f"{grain}.{v}"), F.array()) for v in VARIABLES[grain]]
-    zipped = F.arrays_zip(F.col(f"{grain}.time"), *arrays)
+    arrays = [f"coalesce({grain}.{v}, array())" for v in VARIABLES[grain]]
+    zipped = F.expr(f"arrays_zip({grain}.time, {', '.join(arrays)})")
     return zipped.cast(ArrayType(READINGS[grain]))
 
 
@@ -169,12 +169,10 @@ def all_rows(judged: DataFrame, on_failure: str = "fail") -> DataFrame:
     Columns of the other grain are NULL. Written with ``partitionBy("grain")``
     this lands both grains in one job: they appear together or not at all.
     """
-    kinds = {g: ArrayType(READINGS[g]).elementType for g in GRAINS}
-
     def tagged(grain: str) -> Column:
         def wrap(reading: Column) -> Column:
             sides = [
-                (reading if g == grain else F.lit(None).cast(kinds[g])).alias(g) for g in GRAINS
+                (reading if g == grain else F.lit(None).cast(READINGS[g])).alias(g) for g in GRAINS
             ]
             return F.struct(F.lit(grain).alias("grain"), *sides)
 
@@ -186,13 +184,13 @@ def all_rows(judged: DataFrame, on_failure: str = "fail") -> DataFrame:
     names = list(dict.fromkeys(HOURLY.fieldNames() + DAILY.fieldNames()))
     carried = set(METADATA.fieldNames())
 
-    def column(name: str) -> Column:
+    def column(name: str) -> str:
         if name in carried:
-            return F.col(name)
-        sides = [F.col(f"{g}.{name}") for g in GRAINS if name in READINGS[g].fieldNames()]
-        return F.coalesce(*sides).alias(name)
+            return name
+        sides = [f"{g}.{name}" for g in GRAINS if name in READINGS[g].fieldNames()]
+        return f"coalesce({', '.join(sides)}) as {name}"
 
-    return rows.select("grain", *[column(n) for n in names])
+    return rows.selectExpr("grain", *[column(n) for n in names])
 
 
 def within(rows: DataFrame, start: str, end: str) -> DataFrame:

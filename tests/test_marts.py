@@ -93,6 +93,21 @@ def test_one_extreme_value_is_flagged(spark):
     assert (counts.scored_rows, counts.temp_anomalies) == (41, 1)
 
 
+def test_copies_of_one_row_are_sorted_by_several_tasks(spark):
+    row = series("paris", [1.0, 2.0])[0]
+    copies = hourly(spark, [row]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4000))))
+    marked = copies.repartition(8, "n").select(
+        "time", "city_id", "temperature_2m", "precipitation"
+    )
+    spread = scores.in_time_order(marked).select(F.spark_partition_id().alias("task"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r["count"] for r in spread.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(counts) == 4000 and len(counts) > 1
+
+
 def test_merged_statistics_of_a_constant_that_is_not_a_binary_fraction(spark):
     # Day means of 0.1 differ in their last digit with the number of hours.
     rows = series("flat", [0.1] * 79) + series("single", [0.1]) + series("two", [0.1, 0.3])

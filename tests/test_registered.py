@@ -27,4 +27,5 @@ def test_entry_has_the_daily_columns(spark):
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_matches_sql(spark, connection, name):
-    assert mismatch(entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name], connection) is None
+    actual, sql = entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name]
+    assert mismatch(actual, sql, connection) is None

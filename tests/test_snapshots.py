@@ -116,7 +116,8 @@ def test_checks_find_faults_and_skip_null_keys(spark):
         ("not_null", "temperature_2m"): 0, ("filled", "temperature_2m"): 4,
         ("filled", "precipitation"): 5, ("range", "temperature_2m"): 1,
     }
-    assert failures(quality.unique(stg, "t", ["time", "city_id"])) == {("unique", "time,city_id"): 1}
+    keys = ["time", "city_id"]
+    assert failures(quality.unique(stg, "t", keys)) == {("unique", "time,city_id"): 1}
     known = raw.where("city_id = 'paris'")
     assert failures(quality.relationships(stg, known, "t", "city_id")) == {
         ("relationships", "city_id"): 1

@@ -85,11 +85,37 @@ def test_a_failed_refresh_keeps_the_old_table(spark, layers):
 
 
 def test_a_table_may_be_rebuilt_from_itself(spark, layers):
-    stg = tables.full_refresh(layers, staging(readings(spark, [1.0, 2.0])), "staging.weather_hourly")
-    again = tables.full_refresh(layers, stg.where("temperature_2m > 1"), "staging.weather_hourly")
+    table = "staging.weather_hourly"
+    stg = tables.full_refresh(layers, staging(readings(spark, [1.0, 2.0])), table)
+    again = tables.full_refresh(layers, stg.where("temperature_2m > 1"), table)
     assert again.count() == 1
 
 
+def test_a_refresh_of_some_days_takes_only_those_anew(spark, layers):
+    def rows(temperature, days):
+        return hourly(spark, [
+            {"city_id": "paris", "time": datetime(2026, 2, day, hour),
+             "temperature_2m": temperature + hour}
+            for day in days for hour in (1, 2)
+        ] + [{"city_id": "paris", "temperature_2m": temperature}])
+
+    def built(raw, days=None):
+        made = plan.refresh(layers, raw, raw, days=days)
+        mart = {r.date: (r.temp_min, r.total_hours) for r in made[plan.MART_DAILY].collect()}
+        return mart, made[plan.MART_ANOMALIES]
+
+    built(rows(1.0, [1, 2, 3]))
+    changed = rows(5.0, [1, 2, 3, 4])
+    assert plan.days_of(changed) == (date(2026, 2, 1), date(2026, 2, 4))
+    mart, marked = built(changed, (date(2026, 2, 3), date(2026, 2, 4)))
+    assert mart == {
+        None: (5.0, 1),
+        date(2026, 2, 1): (2.0, 2), date(2026, 2, 2): (2.0, 2),
+        date(2026, 2, 3): (6.0, 2), date(2026, 2, 4): (6.0, 2),
+    }
+    assert marked.count() == 9
+
+
 def test_build_once_leaves_a_table_alone(spark, layers):
     tables.build_once(layers, readings(spark, [1.0, 2.0]), "staging.weather")
     assert tables.build_once(layers, readings(spark, [1.0]), "staging.weather").count() == 2
