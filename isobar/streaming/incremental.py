@@ -7,18 +7,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from isobar.functions.calendar import utc_wall_clock
 from isobar.sources.landing import stream_landing
-from isobar.sources.payload import all_rows, enrich, judge
+from isobar.sources.payload import all_rows, enrich, judge, refused
 
 
 def stamped_by_landing(docs: DataFrame) -> DataFrame:
     """Lineage from the time a document landed. Unlike the clock of the run it
     is the same when a micro-batch is repeated after a failure."""
     landed = utc_wall_clock(F.col("landed_at"))
-    text = F.translate(F.substring(landed.cast("string"), 1, 19), "-: ", "")
-    batch = F.concat_ws("_", F.substring(text, 1, 8), F.substring(text, 9, 6))
+    digits = F.translate(F.substring(landed.cast("string"), 1, 19), "-: ", "")
+    batch = F.concat_ws("_", F.substring(digits, 1, 8), F.substring(digits, 9, 6))
     return docs.withColumn("ingestion_timestamp", landed).withColumn("batch_id", batch)
 
 
+def _judged(
+    spark: SparkSession, landing: str, dimension: DataFrame, form: str, max_files: int | None
+) -> DataFrame:
+    docs = stream_landing(spark, landing, form, max_files)
+    return judge(stamped_by_landing(enrich(docs, dimension)))
+
+
+def _append(df: DataFrame, path: str, checkpoint: str, *partitions: str) -> StreamingQuery:
+    """The checkpoint records which files were taken and the sink's log which
+    were written, so each document counts exactly once even if a run is killed."""
+    return (
+        df.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .partitionBy(*partitions)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def load_new(
     spark: SparkSession,
     landing: str,
@@ -31,19 +52,23 @@ def load_new(
 ) -> StreamingQuery:
     """Start a run that loads what has landed since the last one, then ends.
 
-    The checkpoint records which files were taken and the sink's log which
-    files were written, so each document is loaded exactly once even if the run
-    is killed half-way. ``raw_root`` belongs to this stream alone. ``max_files``
-    bounds a micro-batch when a long history is loaded at once.
+    ``raw_root`` belongs to this stream alone. Its directories go by grain only:
+    batch ids, one per second of landing, stay a column. ``max_files`` bounds a
+    micro-batch when a long history is loaded at once.
     """
-    docs = stream_landing(spark, landing, form, max_files)
-    rows = all_rows(judge(stamped_by_landing(enrich(docs, dimension))), on_failure)
-    return (
-        rows.writeStream.format("parquet")
-        .option("path", raw_root)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("grain", "batch_id")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    judged = _judged(spark, landing, dimension, form, max_files)
+    return _append(all_rows(judged, on_failure), raw_root, checkpoint, "grain")
+
+
+def record_refused(
+    spark: SparkSession,
+    landing: str,
+    path: str,
+    checkpoint: str,
+    dimension: DataFrame,
+    form: str = "lines",
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """The counterpart of ``load_new``: the documents that gave no rows, and why."""
+    judged = _judged(spark, landing, dimension, form, max_files)
+    return _append(refused(judged), path, checkpoint, "reason")

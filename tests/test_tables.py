@@ -18,7 +18,7 @@ from isobar.sources.cities import (
     require_known,
 )
 from isobar.sources.raw import scan_raw
-from isobar.streaming.incremental import load_new
+from isobar.streaming.incremental import load_new, record_refused
 
 DAY = "2026-02-08"
 
@@ -197,3 +197,11 @@ def test_incremental_load_takes_each_document_once(spark, tmp_path):
     assert first.batch_id == stamp.strftime("%Y%m%d_%H%M%S")
     assert abs((first.ingestion_timestamp - stamp).total_seconds()) < 0.01
     assert os.path.isdir(f"{root}/_spark_metadata")
+
+    def refused():
+        path = f"{tmp_path}/refused"
+        query = record_refused(spark, str(landing), path, f"{tmp_path}/state2", cities(spark))
+        query.awaitTermination()
+        return [(r.city_id, r.reason) for r in spark.read.parquet(path).collect()]
+
+    assert refused() == refused() == [("tokyo", "missing_daily")]
