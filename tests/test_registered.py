@@ -25,6 +25,21 @@ def test_entry_has_the_daily_columns(spark):
     assert result.count() == 150
 
 
+@pytest.mark.parametrize(
+    "name", ["weather_anomalies", "weather_anomalies_bootstrap", "high_water_delta",
+             "city_orphans", "city_stats_merged", "payload_hourly"]
+)
+def test_matches_sql_without_broadcasts(spark, connection, name):
+    """The way beyond the size that is broadcast: shuffled joins."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        actual = entry.queries()[name](spark, SF_DIR)
+        assert "Broadcast" not in actual._jdf.queryExecution().executedPlan().toString()
+        assert mismatch(actual, entry.oracle_sql()[name], connection) is None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_matches_sql(spark, connection, name):
     actual, sql = entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name]

@@ -95,6 +95,34 @@ def test_differences_between_batches(spark):
     assert counts == {"changed": 3, "removed": 1, "added": 1}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_differences_by_brute_force(spark, seed):
+    chance = random.Random(seed)
+
+    def side():
+        hours = [h for h in range(200) if chance.random() < 0.8]
+        values = [None, 1.0, 2.0]
+        return {h: (chance.choice(values), chance.choice(values)) for h in hours}
+
+    sides = {"a": side(), "b": side()}
+    rows = hourly(spark, [
+        {"city_id": "paris", "time": START + timedelta(hours=h), "batch_id": batch,
+         "temperature_2m": t, "precipitation": p}
+        for batch, readings in sides.items() for h, (t, p) in readings.items()
+    ])
+    diff = snapshots.snapshot_diff(
+        rows, F.col("batch_id") == "a", F.col("batch_id") == "b",
+        ["temperature_2m", "precipitation"],
+    )
+    expected = {}
+    for h in set(sides["a"]) | set(sides["b"]):
+        old, new = sides["a"].get(h), sides["b"].get(h)
+        if old != new:
+            status = "added" if old is None else "removed" if new is None else "changed"
+            expected[START + timedelta(hours=h)] = status
+    assert {r.time: r.status for r in diff.collect()} == expected
+
+
 def test_checks_find_faults_and_skip_null_keys(spark):
     raw = hourly(spark, [
         {"city_id": "paris", "time": START, "temperature_2m": 50.0},
