@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from isobar.operators.quality import union
 from isobar.schema import LAYERS, LEGACY, RAW, conform
+from isobar.sources.raw import find_raw
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,8 @@ def register_raw(layers: Layers, raw_root: str) -> dict[str, DataFrame]:
     """``raw.weather_hourly`` and ``raw.weather_daily`` over the landed files.
 
     The files already are the table; copying them would only cost their size.
-    New batches are found again on every call.
+    New batches are found again on every call. Without daily files there is no
+    daily table, and the result for it is empty.
     """
     tables = {}
     for grain, schema in RAW.items():
@@ -109,6 +111,9 @@ def register_raw(layers: Layers, raw_root: str) -> dict[str, DataFrame]:
         name, path = layers.name(table), f"{raw_root}/grain={grain}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         layers.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if find_raw(layers.spark, grain, schema, path) is None:
+            tables[table] = layers.spark.createDataFrame([], schema)
+            continue
         layers.spark.sql(
             f"CREATE TABLE {name} ({columns}) USING parquet "
             f"PARTITIONED BY (batch_id) LOCATION '{path}'"

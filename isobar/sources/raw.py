@@ -33,17 +33,27 @@ def write_raw(rows: DataFrame, root: str, replace_batches: bool = False) -> None
     writer.partitionBy("grain", "batch_id").parquet(root)
 
 
-def _read(spark: SparkSession, grain: str, schema: StructType, path: str, **options) -> DataFrame:
-    # The schema is always given: inferred, a batch id like 2024-01-01 becomes a date.
+def find_raw(
+    spark: SparkSession, grain: str, schema: StructType, path: str, **options
+) -> DataFrame | None:
+    """Files under ``path``, or None if there are no daily ones. Daily files are
+    optional; missing hourly files are an error.
+
+    The schema is always given: inferred, a batch id like 2024-01-01 becomes a date.
+    """
     try:
         return spark.read.schema(schema).options(**options).parquet(path)
     except AnalysisException as error:
-        # Daily files are optional; without hourly files there is nothing to load.
         if grain == "daily" and error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return None
         raise
 
 
+def _read(spark: SparkSession, grain: str, schema: StructType, path: str, **options) -> DataFrame:
+    found = find_raw(spark, grain, schema, path, **options)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
 def scan_raw(spark: SparkSession, grain: str, *roots: str) -> DataFrame:
     """All batches of a grain in the given roots; overlapping ones keep duplicates.
 

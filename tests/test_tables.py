@@ -4,20 +4,21 @@ from datetime import UTC, date, datetime
 
 import pytest
 from fixtures import RUN_TS, document, hourly, land
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from isobar.operators.staging import staging
 from isobar.plans import refresh as plan
 from isobar.plans import tables
 from isobar.plans.ingest import ingest
-from isobar.schema import DAILY_VARIABLES, HOURLY_VARIABLES, LEGACY
+from isobar.schema import DAILY, DAILY_VARIABLES, HOURLY_VARIABLES, LEGACY
 from isobar.sources.cities import (
     cities,
     local_request_manifest,
     request_manifest,
     require_known,
 )
-from isobar.sources.raw import scan_raw
+from isobar.sources.raw import scan_raw, write_raw
 from isobar.streaming.incremental import load_new, record_refused
 
 DAY = "2026-02-08"
@@ -205,3 +206,20 @@ def test_incremental_load_takes_each_document_once(spark, tmp_path):
         return [(r.city_id, r.reason) for r in spark.read.parquet(path).collect()]
 
     assert refused() == refused() == [("tokyo", "missing_daily")]
+
+
+def test_registering_without_daily_files(spark, layers, tmp_path):
+    root = f"{tmp_path}/hourly-only"
+    write_raw(readings(spark, [1.0, 2.0]).withColumn("grain", F.lit("hourly")), root)
+    raw = tables.register_raw(layers, root)
+    assert raw[plan.DAILY].count() == 0
+    assert raw[plan.DAILY].columns == DAILY.names
+    built = plan.refresh(layers, raw[plan.HOURLY], raw[plan.DAILY])
+    assert built[plan.MART_DAILY].count() == 1
+    checked = plan.check(built).where("check_name <> 'filled'").collect()
+    assert len(checked) == 18 and {r.failures for r in checked} == {0}
+
+
+def test_registering_without_hourly_files_is_an_error(spark, layers, tmp_path):
+    with pytest.raises(AnalysisException):
+        tables.register_raw(layers, f"{tmp_path}/nowhere")
