@@ -333,6 +333,12 @@ def oracle_sql() -> dict[str, str]:
         "incremental_ingest": ingest_stats(f"cast(time as date) = {YESTERDAY}"),
         "landing_roundtrip": f"{HOURLY} where {BACKFILL}",
         "daily_scan": payload_daily(where=BACKFILL),
+        "hourly_files": HOURLY,
+        "daily_files": f"""
+            select cast(cast(time as date) as timestamp) as time, city_id,
+                   max(temperature_2m) as temperature_2m_max,
+                   min(temperature_2m) as temperature_2m_min
+            from ({RAW}) group by city_id, cast(time as date)""",
         "drifted_scan": f"""
             select * replace (
                 case when city_id = 'click' then floor(temperature_2m) else temperature_2m

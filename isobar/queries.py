@@ -19,7 +19,7 @@ from isobar.operators.staging import staging
 from isobar.plans import refresh as layers_plan
 from isobar.plans import tables
 from isobar.plans.ingest import ingest
-from isobar.schema import HOURLY
+from isobar.schema import DAILY, HOURLY, conform
 from isobar.session import scratch, settle
 from isobar.sources import cities, events, landing, payload, raw
 from isobar.sources.drifted import scan_drifted
@@ -151,11 +151,11 @@ def _faulty_raw(spark, sf_dir):
 
 
 def _daily_grain(hourly: DataFrame) -> DataFrame:
-    return hourly.groupBy("city_id", F.to_date("time").alias("day")).agg(
+    days = hourly.groupBy("city_id", F.to_date("time").alias("day")).agg(
         F.max("temperature_2m").alias("temperature_2m_max"),
         F.min("temperature_2m").alias("temperature_2m_min"),
-    ).select(F.col("day").cast("timestamp_ntz").alias("time"), "city_id", "temperature_2m_max",
-             "temperature_2m_min")
+    )
+    return days.withColumn("time", F.col("day").cast("timestamp_ntz")).drop("day")
 
 
 def _lazy_tables(hourly: DataFrame) -> dict[str, DataFrame]:
@@ -314,6 +314,27 @@ def daily_scan(spark, sf_dir):
     return _rounded(rows, ["precipitation_sum"])
 
 
+def _flat_files(spark, sf_dir) -> str:
+    """Canonical files of two hourly batches and one daily batch in one folder."""
+    path, rows = scratch(spark, "files"), _raw(spark, sf_dir)
+    early = F.to_date("time") <= F.lit(date(2024, 1, 15))
+    hourly, daily = conform(rows, HOURLY), conform(_daily_grain(rows), DAILY)
+    hourly.where(early).write.parquet(f"{path}/all_hourly_2024-01-01_2024-01-15_one.parquet")
+    hourly.where(~early).write.parquet(f"{path}/all_hourly_2024-01-16_2024-12-31_two.parquet")
+    daily.write.parquet(f"{path}/all_daily_2024-01-01_2024-12-31_one.parquet")
+    return path
+
+
+def hourly_files(spark, sf_dir):
+    files = _flat_files(spark, sf_dir)
+    return raw.scan_files(spark, files, "hourly").select(*HOURLY_COLUMNS)
+
+
+def daily_files(spark, sf_dir):
+    columns = ["time", "city_id", "temperature_2m_max", "temperature_2m_min"]
+    return raw.scan_files(spark, _flat_files(spark, sf_dir), "daily").select(*columns)
+
+
 def drifted_scan(spark, sf_dir):
     """Files of whole-number temperatures, files without cloud cover, and others."""
     path = scratch(spark, "drifted")
@@ -482,6 +503,8 @@ QUERIES = [
     incremental_ingest,
     landing_roundtrip,
     daily_scan,
+    hourly_files,
+    daily_files,
     drifted_scan,
     full_refresh,
     full_refresh_anomalies,

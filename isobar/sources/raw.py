@@ -34,7 +34,7 @@ def write_raw(rows: DataFrame, root: str, replace_batches: bool = False) -> None
 
 
 def find_raw(
-    spark: SparkSession, grain: str, schema: StructType, path: str, **options
+    spark: SparkSession, grain: str, schema: StructType, path: str
 ) -> DataFrame | None:
     """Files under ``path``, or None if there are no daily ones. Daily files are
     optional; missing hourly files are an error.
@@ -42,15 +42,15 @@ def find_raw(
     The schema is always given: inferred, a batch id like 2024-01-01 becomes a date.
     """
     try:
-        return spark.read.schema(schema).options(**options).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if grain == "daily" and error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def _read(spark: SparkSession, grain: str, schema: StructType, path: str, **options) -> DataFrame:
-    found = find_raw(spark, grain, schema, path, **options)
+def _read(spark: SparkSession, grain: str, schema: StructType, path: str) -> DataFrame:
+    found = find_raw(spark, grain, schema, path)
     return spark.createDataFrame([], schema) if found is None else found
 
 
@@ -70,5 +70,6 @@ def scan_raw(spark: SparkSession, grain: str, *roots: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, directory: str, grain: str) -> DataFrame:
-    """All canonical files of a flat directory whose names carry the grain."""
-    return _read(spark, grain, RAW[grain], directory, pathGlobFilter=f"*_{grain}_*.parquet")
+    """All canonical files (or Parquet folders) whose names carry the grain, as in
+    ``<city>_<grain>_<start>_<end>_<batch>.parquet``, put together by column name."""
+    return _read(spark, grain, RAW[grain], f"{directory}/*_{grain}_*.parquet")
