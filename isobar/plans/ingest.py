@@ -38,6 +38,7 @@ def ingest(
     form: str = "lines",
     on_failure: str = "fail",
     refused_path: str | None = None,
+    repeat: bool = False,
 ) -> DataFrame:
     """Land the requested days of the given cities and return the run's statistics.
 
@@ -46,6 +47,9 @@ def ingest(
     document that cannot become rows stops the run or is refused as well. With
     ``refused_path`` the refused documents and the reasons are appended there.
 
+    ``repeat`` says that a run with this ``run_ts`` may have been here before, and
+    replaces its batch; otherwise rows are added.
+
     Documents and rows are counted while they are written. The statistics per
     city are read back from the new batch, two narrow columns of one directory.
     """
@@ -63,7 +67,7 @@ def ingest(
         F.count_if(F.col("grain") == "hourly").alias("hourly"),
         F.count_if(F.col("grain") == "daily").alias("daily"),
     )
-    write_raw(landed, raw_root)
+    write_raw(landed, raw_root, replace_batches=repeat)
     log.info("batch %s, %s to %s: documents %s, rows %s", batch_id_of(run_ts), first, last,
              documents.get, rows.get)
     if refused_path is not None:

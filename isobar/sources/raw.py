@@ -23,7 +23,7 @@ def write_raw(rows: DataFrame, root: str, replace_batches: bool = False) -> None
     rows, and they are read far more often than written.
 
     ``replace_batches`` overwrites exactly the batches present in ``rows``, so
-    that a repeated micro-batch replaces itself; otherwise files are added.
+    that a repeated run replaces itself; otherwise files are added.
     """
     writer = rows.sortWithinPartitions(*CLUSTERING).write.option("compression", "snappy")
     if replace_batches:

@@ -170,6 +170,18 @@ def test_a_run_counts_what_it_wrote(spark, tmp_path, caplog):
     assert "documents {'read': 2, 'refused': 1}, rows {'hourly': 24, 'daily': 1}" in caplog.text
 
 
+def test_a_repeated_run_replaces_its_batch(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw"
+    land(landing, "paris", DAY, document(DAY))
+    request = {"start": DAY, "end": DAY}
+    for repeat, run_ts, rows in (
+        (False, RUN_TS, 24), (True, RUN_TS, 24), (False, RUN_TS, 48),
+        (True, datetime(2026, 2, 9), 72), (True, RUN_TS, 48),
+    ):
+        ingest(spark, str(landing), root, cities(spark), "custom", run_ts, repeat=repeat, **request)
+        assert scan_raw(spark, "hourly", root).count() == rows
+
+
 def test_a_failing_run_leaves_nothing(spark, tmp_path):
     landing, root = tmp_path / "landing", f"{tmp_path}/raw"
     land(landing, "paris", DAY, document(DAY))
