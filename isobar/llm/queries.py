@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import minhash
+from isobar.llm import maxent, minhash, mixing, sql, token_files, warc
 from isobar.llm.ship import ship
 
 
@@ -15,14 +16,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to WARC files, read back and merged."""
+    found = warc.archive(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by b-bit MinHash."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return maxent.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
+    """The JSON of one of the installed public tokenizers."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to binary files and read back."""
+    return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash": op8_minhash}
+    return {
+        "op2_pareto_mix": op2_pareto_mix,
+        "op5_warc": op5_warc,
+        "op7_token_files": op7_token_files,
+        "op8_minhash": op8_minhash,
+        "op9_maxent": op9_maxent,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_pareto_mix": sql.MIX, "op5_warc": sql.ARCHIVE}

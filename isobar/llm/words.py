@@ -72,27 +72,38 @@ def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         low = min(high, n)
 
 
-def _piece(data: np.ndarray, space: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in one piece; first: bytes that begin a row."""
+def _piece(data: np.ndarray, space: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and last two bytes of the words in one piece; first: bytes that begin a row."""
     start = ~space
     end = start.copy()
     start[1:] &= space[:-1] | first[1:]
     end[:-1] &= space[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     power, inverse = _power(len(data))
+    low = _LOWER[data]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * inverse[starts])
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    tails = low[ends - 1].astype(np.uint16)
+    tails |= np.where(ends - starts > 1, low[ends - 2], np.uint8(0)).astype(np.uint16) << np.uint16(8)
+    return starts, mix((sums[ends] - sums[starts]) * inverse[starts]), tails
 
 
 def hashes(
     data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE
 ) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and for each row the index of its first word (one more at the end)."""
+    values, first, _ = tailed(data, offsets, spaces)
+    return values, first
+
+
+def tailed(
+    data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``hashes`` returns, and the last two bytes of each word."""
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    starts, values, low = [], [], 0
+    starts, values, tails, low = [], [], [], 0
     while low < n:
         high = min(n, low + PIECE)
         if high < n:
@@ -105,13 +116,15 @@ def hashes(
                     break
                 high = min(n, high + step)
         part = data[low:high]
-        at, value = _piece(part, spaces[part], first[low:high])
+        at, value, tail = _piece(part, spaces[part], first[low:high])
         starts.append(at + low)
         values.append(value)
+        tails.append(tail)
         low = high
     starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     values = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return values, np.searchsorted(starts, offsets).astype(np.int64)
+    tails = np.concatenate(tails) if tails else np.zeros(0, np.uint16)
+    return values, np.searchsorted(starts, offsets).astype(np.int64), tails
 
 
 _ORDER = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
