@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import maxent, minhash, mixing, sql, token_files, warc
+from isobar.llm import maxent, minhash, mixing, packing, sql, token_files, warc
 from isobar.llm.ship import ship
 
 
@@ -27,6 +27,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards."""
+    return packing.shard(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by b-bit MinHash."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pareto_mix": op2_pareto_mix,
         "op5_warc": op5_warc,
+        "op6_vector_packing": op6_vector_packing,
         "op7_token_files": op7_token_files,
         "op8_minhash": op8_minhash,
         "op9_maxent": op9_maxent,
