@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import maxent, minhash, mixing, packing, sql, token_files, warc
+from isobar.llm import maxent, minhash, mixing, packing, spotsigs, sql, token_files, warc
 from isobar.llm.ship import ship
 
 
@@ -42,6 +42,11 @@ def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return spotsigs.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
     """The JSON of one of the installed public tokenizers."""
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": op7_token_files,
         "op8_minhash": op8_minhash,
         "op9_maxent": op9_maxent,
+        "op10_spotsigs": op10_spotsigs,
     }
 
 
