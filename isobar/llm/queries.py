@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import maxent, minhash, mixing, packing, spotsigs, sql, token_files, warc
+from isobar.llm import decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, warc
 from isobar.llm.ship import ship
 
 
@@ -21,6 +21,11 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, written to WARC files, read back and merged."""
     found = warc.archive(_table(spark, sf_dir, "pages"))
@@ -61,6 +66,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pareto_mix": op2_pareto_mix,
+        "op4_latent_decontamination": op4_latent_decontamination,
         "op5_warc": op5_warc,
         "op6_vector_packing": op6_vector_packing,
         "op7_token_files": op7_token_files,
