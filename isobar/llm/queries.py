@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, warc
+from isobar.llm import decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
 from isobar.llm.ship import ship
 
 
@@ -16,11 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items."""
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -65,7 +75,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_compression_toxicity": op1_compression_toxicity,
         "op2_pareto_mix": op2_pareto_mix,
+        "op3_wrapper_induction": op3_wrapper_induction,
         "op4_latent_decontamination": op4_latent_decontamination,
         "op5_warc": op5_warc,
         "op6_vector_packing": op6_vector_packing,
