@@ -144,20 +144,25 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return taken
 
 
+def _found(batch: pa.RecordBatch, model: dict, squared: np.ndarray) -> list[tuple]:
+    """(row, item, cosine, share of it in common, share of its answer) of the items that the rows of a batch hold."""
+    found = []
+    for low, high, value, first in _terms(batch):
+        term = (value % np.uint64(TERMS)).astype(np.int64)
+        weight = squared[term]
+        for block in model["blocks"]:
+            row = block["row"][term]
+            for i in np.flatnonzero(np.diff(first) > 0):
+                span = slice(first[i], first[i + 1])
+                found += [(low + int(i), *hit) for hit in _search(value[span], weight[span], row[span], block)]
+    return found
+
+
 def _matches(model):
     def run(batches):
         squared = model.value["idf"] ** 2
         for batch in batches:
-            found = []
-            for low, high, value, first in _terms(batch):
-                term = (value % np.uint64(TERMS)).astype(np.int64)
-                weight = squared[term]
-                for block in model.value["blocks"]:
-                    row = block["row"][term]
-                    for i in np.flatnonzero(np.diff(first) > 0):
-                        span = slice(first[i], first[i + 1])
-                        for item, cosine, share, answer in _search(value[span], weight[span], row[span], block):
-                            found.append((low + int(i), item, cosine, share, answer))
+            found = _found(batch, model.value, squared)
             rows, items, cosines, shares, answers = zip(*found) if found else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(cosines, pa.float64()),
@@ -166,6 +171,16 @@ def _matches(model):
     return run
 
 
+def _clean(model):
+    def run(batches):
+        squared = model.value["idf"] ** 2
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[hit[0] for hit in _found(batch, model.value, squared)]] = False
+            yield batch.filter(pa.array(keep))
+    return run
+
+
 def _search(value, weight, row, block):
     """(item, cosine, share of it in common, share of its answer) of the items that one document holds."""
     n = len(value)
@@ -200,6 +215,23 @@ def _search(value, weight, row, block):
             yield item, cosine, float(whole), float(end)
 
 
+def _models(docs: DataFrame, benchmark: DataFrame, rank: int):
+    """Broadcast models of ``BLOCKS`` blocks each."""
+    spark = docs.sparkSession
+    idf = inverse_frequencies(docs)
+    shared_idf = spark.sparkContext.broadcast(idf)
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
+    passages = items.mapInArrow(_passages, "item_id long, words array<long>, passage array<long>").where(F.size("words") >= LEAST_WORDS)
+    # Blocks are ranges of the passages in the order of ids, numbered in range partitions.
+    ordered = passages.repartitionByRange("item_id").sortWithinPartitions("item_id")
+    passages = settle(ordered.withColumn("number", F.monotonically_increasing_id()), "passages")
+    part, at = F.shiftright("number", 33), F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = passages.groupBy(F.floor((part * (1 << 33) + at) / RANK).alias("block")).agg(F.count("*").alias("n")).orderBy("block").collect()
+    blocks = [passages.where(F.floor((part * (1 << 33) + at) / RANK) == s["block"]) for s in sizes]
+    for low in range(0, len(blocks), BLOCKS):
+        yield spark.sparkContext.broadcast({"idf": idf, "blocks": [_block(b, idf, shared_idf, rank) for b in blocks[low : low + BLOCKS]]})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """Pairs (doc_id, item_id, cosine, common, answer) of documents and the benchmark items that they hold.
 
@@ -210,31 +242,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     are repeated; rows with a null doc_id count as one document. Of items that share
     an id one is taken. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    idf = inverse_frequencies(docs)
-    shared_idf = spark.sparkContext.broadcast(idf)
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
-    passages = items.mapInArrow(_passages, "item_id long, words array<long>, passage array<long>").where(F.size("words") >= LEAST_WORDS)
-    # Blocks by position in the order of ids, counted by range partition.
-    passages = settle(passages.repartitionByRange("item_id").sortWithinPartitions("item_id").withColumn("number", F.monotonically_increasing_id()), "passages")
-    sizes = passages.groupBy(F.shiftright("number", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    blocks = [
-        passages.where((F.shiftright("number", 33) == s["part"]) & (F.col("number").bitwiseAND(F.lit((1 << 33) - 1)) >= low)
-                       & (F.col("number").bitwiseAND(F.lit((1 << 33) - 1)) < low + RANK))
-        for s in sizes for low in range(0, s["n"], RANK)
-    ]
-    found = None
-    for low in range(0, len(blocks), BLOCKS):
-        model = spark.sparkContext.broadcast({"idf": idf, "blocks": [_block(b, idf, shared_idf, rank) for b in blocks[low : low + BLOCKS]]})
-        some = docs.mapInArrow(_matches(model), "doc_id long, item_id long, cosine double, common double, answer double")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double")
+    schema = "doc_id long, item_id long, cosine double, common double, answer double"
+    found = docs.limit(0).mapInArrow(lambda batches: (), schema)
+    for model in _models(docs, benchmark, rank):
+        found = found.unionByName(docs.mapInArrow(_matches(model), schema))
     # An item of several passages can be found in several blocks.
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answer")))
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item; see ``contaminated``."""
+    for model in _models(docs, benchmark, rank):
+        docs = docs.mapInArrow(_clean(model), docs.schema)
+    return docs
+
+
 def _block(block: DataFrame, idf: np.ndarray, shared_idf, rank: int) -> dict:
     """The latent space of a block, the images of its passages, and the words of its items."""
     rows = block.collect()  # at most RANK passages

@@ -230,24 +230,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return train(sample, min(max(counts.get(1, 0) / total, 1e-3), 1 - 1e-3))
 
 
+def _scores(model: dict):
+    """What scores an Arrow column of texts by a broadcast model."""
+    distance = Distance(*(model[k] for k in ("toxic", "ordinary", "telling")))
+    weights, mean, scale = model["curve"]
+
+    def of(texts: pa.Array) -> np.ndarray:
+        z = np.array([weights[0] + ((distance.features(t.as_py()) - mean) / scale) @ weights[1:] for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return of
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score, from the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        distance = Distance(*(shared.value[k] for k in ("toxic", "ordinary", "telling")))
-        weights, mean, scale = shared.value["curve"]
+        of = _scores(shared.value)
         for batch in batches:
-            texts = batch.column("text")
-            scores = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                z = weights[0] + ((distance.features(text.as_py()) - mean) / scale) @ weights[1:]
-                scores[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(of(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score stays below ``THRESHOLD``; see ``toxicity``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        of = _scores(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 from ``THRESHOLD``).
 
