@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.llm import words as W
 
-WINDOW = 128
+WINDOW = 40
 RUN = 6
 #: Labelled documents of each kind, and windows of each, that the fit looks at.
-TOXIC, ORDINARY, WINDOWS = 4000, 8000, 64
+TOXIC, ORDINARY, WINDOWS = 4000, 8000, 128
 #: Bytes of the dictionaries and of the text that the ordinary one is trained on.
 TOXIC_BYTES, ORDINARY_BYTES, TRAINED_BYTES = 8192, 16384, 4_000_000
-#: Log ratio of a run's frequencies from which it counts as toxic, and least number of toxic windows.
-RATIO, LEAST = 3.0, 12
+#: Log ratio of a run's frequencies from which it counts as toxic; one of so many toxic windows must hold it,
+#: and between the two numbers of them at least.
+RATIO, ONE_OF, LEAST = 2.5, 1000, (5, 12)
 #: Share of the sample that the dictionaries are trained on; the rest calibrates.
 TRAINED = 0.7
 LEVEL = 10
@@ -101,13 +102,14 @@ def _stretches(sample: list[bytes], telling: np.ndarray) -> list[bytes]:
 
 
 def _trained(sample: list[bytes], size: int) -> bytes:
-    """A dictionary of the samples by the library's training; the samples themselves if there are too few."""
-    if sum(map(len, sample)) > 4 * size and len(sample) >= 16:
+    """A dictionary of the samples by the library's training; of few samples a smaller one, or all of them."""
+    size = min(size, sum(map(len, sample)) // 3)
+    if size >= 512 and len(sample) >= 16:
         try:
             return zstandard.train_dictionary(size, sample, k=32, d=6, steps=1).as_bytes()
         except zstandard.ZstdError:
             pass
-    return b"".join(dict.fromkeys(sample))[-size:]
+    return b"".join(dict.fromkeys(sample))[-max(size, 4096) :]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -169,7 +171,7 @@ def train(sample: list[tuple[int, list[bytes], str]], share: float) -> dict:
     ordinary = list(dict.fromkeys(w for label, own, _ in learn if not label for w in own))
     often = _frequency(toxic)
     ratio = np.log((often + 0.1) / max(1, len(toxic))) - np.log((_frequency(ordinary) + 0.5) / max(1, len(ordinary)))
-    telling = (ratio > RATIO) & (often >= min(LEAST, max(2, len(toxic) // 100)))
+    telling = (ratio > RATIO) & (often >= np.clip(len(toxic) // ONE_OF, *LEAST))
     size, plain = 0, []
     for window in ordinary:
         size += len(window)
