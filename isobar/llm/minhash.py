@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.llm import words as W
@@ -23,6 +24,8 @@ from isobar.session import settle
 
 WIDTH = 5
 ROWS, BANDS, BITS = 4, 32, 4
+#: Minima and bits of the longer signatures of documents whose band keys stay in doubt.
+FINE_MINIMA, FINE_BITS = 1024, 2
 #: Standard deviations that an estimate may fall below the threshold.
 DEVIATIONS = 4.5
 
@@ -30,11 +33,11 @@ _MINIMA = ROWS * BANDS
 _SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>"
 
 
-def _signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed bits of each non-empty set."""
-    factors = W.mix(np.arange(1, _MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
-    minima = np.empty((len(sets), _MINIMA), np.uint64)
-    block = np.empty((256, _MINIMA), np.uint64)
+def _minima(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """The least value of each non-empty set under each of ``n`` hash functions, mixed."""
+    factors = W.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    minima = np.empty((len(sets), n), np.uint64)
+    block = np.empty((256, n), np.uint64)
     for i, values in enumerate(sets):
         least = minima[i]
         least[:] = np.uint64(2**64 - 1)
@@ -42,15 +45,25 @@ def _signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             part = values[at : at + 256]
             np.multiply(part[:, None], factors, out=block[: len(part)])
             np.minimum(least, block[: len(part)].min(axis=0), out=least)
-    minima = W.mix(minima)
-    order = W.mix(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
-    bands = (minima.reshape(-1, BANDS, ROWS) * order).sum(axis=2, dtype=np.uint64)
-    bands = W.mix(bands + W.mix(np.arange(BANDS, dtype=np.uint64)))
+    return W.mix(minima)
+
+
+def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest ``bits`` bits of each minimum, one bit plane after another."""
     planes = [
         np.packbits(((minima >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-        for bit in range(BITS)
+        for bit in range(bits)
     ]
-    return bands, np.concatenate(planes, axis=1)
+    return np.concatenate(planes, axis=1)
+
+
+def _signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and packed bits of each non-empty set."""
+    minima = _minima(sets, _MINIMA)
+    order = W.mix(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
+    bands = (minima.reshape(-1, BANDS, ROWS) * order).sum(axis=2, dtype=np.uint64)
+    bands = W.mix(bands + W.mix(np.arange(BANDS, dtype=np.uint64)))
+    return bands, _packed(minima, BITS)
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -107,24 +120,36 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
+def _fine(batches):
+    for batch in batches:
+        column = batch.column("shingles")
+        values = column.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(pc.list_value_length(column).to_numpy())
+        sets = np.split(values, ends[:-1])
+        for low in range(0, len(sets), 512):
+            bits = _packed(_minima(sets[low : low + 512], FINE_MINIMA), FINE_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, 512), _lists(list(bits))], ["doc_id", "fine"])
+
+
+def estimate(a: Column, b: Column, minima: int = _MINIMA, bits: int = BITS) -> Column:
     """Similarity of two packed signatures by bit counts, corrected for chance collisions."""
-    longs = _MINIMA // 64
+    longs = minima // 64
     differing = F.lit(0)
     for word in range(longs):
         differs = F.lit(0).cast("long")
-        for plane in range(BITS):
+        for plane in range(bits):
             at = plane * longs + word
             differs = differs.bitwiseOR(a[at].bitwiseXOR(b[at]))
         differing = differing + F.bit_count(differs)
-    chance = 2.0**-BITS
-    return (1 - differing / F.lit(float(_MINIMA)) - chance) / (1 - chance)
+    chance = 2.0**-bits
+    return (1 - differing / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def _least_estimate(threshold: float) -> float:
-    chance = 2.0**-BITS
+def least_estimate(threshold: float, minima: int = _MINIMA, bits: int = BITS) -> float:
+    """What the estimate of a pair at the threshold reaches, but for ``DEVIATIONS``."""
+    chance = 2.0**-bits
     agree = threshold + (1 - threshold) * chance
-    return threshold - DEVIATIONS * (agree * (1 - agree) / _MINIMA) ** 0.5 / (1 - chance)
+    return threshold - DEVIATIONS * (agree * (1 - agree) / minima) ** 0.5 / (1 - chance)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
@@ -149,8 +174,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     Then every band key links its classes to its least class, and those links
     that the full sets confirm give components. Only keys that still hold several
     components are looked at again, each class outside the least class's
-    component against every class of another component: with that no link between
-    components is left out, and a group of copies costs one comparison per copy.
+    component against every class of another component, by a longer signature: with
+    that no link between components is left out, and a group of copies costs one
+    comparison per copy.
     """
     signed = settle(signatures(docs, width), "signatures")
     keyed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -159,13 +185,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     member_of = settle(keyed.select("doc_id", *digest).join(classes, digest).select("doc_id", "rep"), "classes")
     chosen = keyed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest], "left_semi")
 
-    keys = chosen.select("doc_id", F.explode("bands").alias("key"))
+    keys = chosen.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     members = settle(keys.join(shared.drop("last"), "key"), "buckets")
     involved = members.select("doc_id").distinct()
     bits = settle(chosen.join(involved, "doc_id", "left_semi").select("doc_id", "bits"), "bits")
     sets = settle(shingle_sets(docs.join(involved, "doc_id", "left_semi"), width), "sets")
-    least = _least_estimate(percent / 100)
+    least = least_estimate(percent / 100)
 
     stars = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
     hinted = (
@@ -185,18 +211,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     left = settle(
         placed.join(open_keys.select("key"), "key", "left_semi").join(hubs, "hub", "left")
-        .withColumn("settled", F.coalesce("hub_component", "hub") == F.col("component"))
-        .join(bits, "doc_id").drop("hub_component"), "open",
+        .withColumn("settled", F.coalesce("hub_component", "hub") == F.col("component")).drop("hub_component"), "open",
     )
+    doubted = left.select("doc_id").distinct()
+    fine = settle(sets.join(doubted, "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, fine array<long>"), "fine")
+    known = fine.join(chosen.select("doc_id", "bands", "n_shingles"), "doc_id")
+    left = left.join(known, "doc_id")
     one, other = left.where("NOT settled").alias("one"), left.alias("other")
+    least = least_estimate(percent / 100, FINE_MINIMA, FINE_BITS)
     rest = one.join(
         other,
         (F.col("one.key") == F.col("other.key"))
         & (F.col("one.component") != F.col("other.component"))
         & (F.col("other.doc_id") != F.col("other.hub"))
         & (F.col("other.settled") | (F.col("one.doc_id") < F.col("other.doc_id")))
-        & (estimate(F.col("one.bits"), F.col("other.bits")) >= least),
-    ).select(F.col("one.doc_id").alias("u"), F.col("other.doc_id").alias("v")).distinct()
+        & (100 * F.least("one.n_shingles", "other.n_shingles") >= percent * F.greatest("one.n_shingles", "other.n_shingles"))
+        & (estimate(F.col("one.fine"), F.col("other.fine"), FINE_MINIMA, FINE_BITS) >= least)
+        # A pair that shares several bands counts in the first of them.
+        & (F.array_position(F.zip_with("one.bands", "other.bands", lambda x, y: x == y), True) == F.col("one.band") + 1),
+    ).select(F.col("one.doc_id").alias("u"), F.col("other.doc_id").alias("v"))
     links = links.unionByName(_confirmed(rest, sets, percent, "links")).unionByName(same)
     found = settle(components(links), "components")
     return (
