@@ -18,7 +18,7 @@ from isobar.operators.daily import (
 from isobar.operators.quality import declared_checks, filled_gaps, value_range
 from isobar.operators.snapshots import latest_rows
 from isobar.operators.staging import staging
-from isobar.plans.tables import Layers, build_once, full_refresh
+from isobar.plans.tables import Layers, build_once, full_refresh, properties
 from isobar.session import settle
 
 HOURLY, DAILY = "raw.weather_hourly", "raw.weather_daily"
@@ -26,25 +26,41 @@ STAGING, STAGED_TABLE = "staging.stg_weather", "staging.weather_hourly"
 MART_DAILY, MART_ANOMALIES = "mart.weather_daily", "mart.weather_anomalies"
 RESULTS = "mart.dq_results"
 MOMENTS = "state.daily_moments"
+OPTIONS = "isobar.options"
 
 
-def days_of(rows: DataFrame) -> tuple[date, date]:
-    """First and last day of the given rows, for instance those of a new batch."""
-    return tuple(rows.agg(F.to_date(F.min("time")), F.to_date(F.max("time"))).first())
+#: what ``days_of`` gives for rows of no day: nothing has changed
+NO_DAYS = ()
 
 
-def _moments(layers: Layers, stg: DataFrame, days: tuple[date, date] | None) -> DataFrame:
+def days_of(rows: DataFrame) -> tuple[date, ...]:
+    """First and last day of the given rows, for instance those of a new batch;
+    ``NO_DAYS`` if there are no rows, or none with a time."""
+    first, last = rows.agg(F.to_date(F.min("time")), F.to_date(F.max("time"))).first()
+    return NO_DAYS if first is None else (first, last)
+
+
+def _moments(layers: Layers, stg: DataFrame, days: tuple[date, ...] | None, options: str) -> DataFrame:
     """The daily moments: of all rows, or of the given days with the stored rest.
 
     The condition on days becomes a range on ``time`` in the scan. Rows without
-    a time belong to no day and are always taken anew.
+    a time belong to no day and are always taken anew. The stored moments carry
+    the options they were made with; others cannot be mixed with them.
     """
     if days is None:
-        return full_refresh(layers, daily_moments(stg), MOMENTS)
-    first, last = (F.lit(day).cast("date") for day in days)
-    anew = F.col("date").isNull() | F.col("date").between(first, last)
+        return full_refresh(layers, daily_moments(stg), MOMENTS, {OPTIONS: options})
+    stored = properties(layers, MOMENTS).get(OPTIONS)
+    if stored != options:
+        raise ValueError(f"the stored days were made with {stored}, not with {options}; refresh all days")
+    anew = F.col("date").isNull()
+    if days != NO_DAYS:
+        if len(days) != 2 or None in days:
+            raise ValueError(f"days are a first and a last one, or NO_DAYS: {days}")
+        first, last = (F.lit(day).cast("date") for day in days)
+        anew = anew | F.col("date").between(first, last)
     kept = layers.table(MOMENTS).where(~anew)
-    return full_refresh(layers, daily_moments(stg.where(anew)).unionByName(kept), MOMENTS)
+    moments = daily_moments(stg.where(anew)).unionByName(kept)
+    return full_refresh(layers, moments, MOMENTS, {OPTIONS: options})
 
 
 def refresh(
@@ -54,7 +70,7 @@ def refresh(
     variant: str = "model",
     fill: bool = True,
     newest_only: bool = False,
-    days: tuple[date, date] | None = None,
+    days: tuple[date, ...] | None = None,
 ) -> dict[str, DataFrame]:
     """Staging and marts from raw rows, all replaced. Returns the five tables.
 
@@ -64,9 +80,10 @@ def refresh(
     the scores. The marts are sorted inside files, not across them: readers get
     prunable row groups, and storing them needs no further exchange.
 
-    ``days`` says that only rows of these days, both included, have changed since
-    the last refresh with the same options. The aggregates of all other days are
-    then kept. Scores depend on the whole history and are always taken anew.
+    ``days`` says that only rows of these days, both included, or of none
+    (``NO_DAYS``) have changed since the last refresh, which must have had the same
+    options. The aggregates of all other days are then kept. Scores depend on the
+    whole history and are always taken anew.
     """
     check_variant(variant)
     rows = latest_rows(hourly) if newest_only else hourly
@@ -78,7 +95,8 @@ def refresh(
     else:
         stg.createOrReplaceTempView(f"{layers.prefix}stg_weather")
 
-    moments = _moments(layers, stg, days)
+    options = f"variant={variant} fill={fill} newest_only={newest_only}"
+    moments = _moments(layers, stg, days, options)
     mart = daily_from_moments(moments, variant).sortWithinPartitions("date", "city_id")
     stats = settle(merged_city_stats(moments), "city-stats")
     marked = anomalies(stg, stats, variant).sortWithinPartitions("time", "city_id")
