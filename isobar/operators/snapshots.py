@@ -6,17 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isobar.operators.quality import duplicates
 from isobar.session import settle
 
 KEY = ["city_id", "time"]
 RECENCY = ["ingestion_timestamp", "batch_id"]
 
 
-#: up to this many keys (a few dozen bytes each) are broadcast
-BROADCAST_KEYS = 500_000
-
-
 def _newest(rows: DataFrame) -> DataFrame:
     """The newest row of each key: a maximum over structs instead of a window.
 
@@ -29,25 +24,25 @@ def _newest(rows: DataFrame) -> DataFrame:
     return newest.select(*KEY, "row.*").select(*rows.columns)
 
 
-def latest_rows(raw: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def latest_rows(raw: DataFrame) -> DataFrame:
     """One row per city and time: the one ingested last.
 
-    Overlaps are usually a small part of the table, so the keys that have copies
-    are found first, by shuffling keys alone. If they are few they are broadcast:
-    all other rows pass through unmoved, and only copies are shuffled. If they
-    are many, every row takes part in the aggregation. Rows without a full key
-    cannot be copies of one another and stay.
+    Keys that have copies, with their latest time of ingestion, are found first by
+    a hash aggregation of three columns. One left join with them, planned by their
+    size, lets rows without copies and the latest copies pass; only the latter are
+    then chosen among. Rows without a full key cannot be copies of one another
+    and stay.
     """
-    copied = settle(duplicates(raw, KEY).select(*KEY), "copied-keys")
-    if copied.count() <= broadcast_keys:
-        keys = F.broadcast(copied)
-        single = raw.join(keys, KEY, "left_anti")
-        newest = _newest(raw.join(keys, KEY, "left_semi").select(*raw.columns))
-    else:
-        keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in KEY])
-        single = raw.where(~keyed)
-        newest = _newest(raw.where(keyed))
-    return single.select(*raw.columns).unionByName(newest)
+    stamp = RECENCY[0]
+    keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in KEY])
+    copies = raw.where(keyed).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("copies"), F.max(stamp).alias("latest")
+    )
+    copied = settle(copies.where("copies > 1"), "copied-keys")
+    marked = raw.join(copied, KEY, "left")
+    single = marked.where("copies IS NULL").select(*raw.columns)
+    late = marked.where(F.col("copies").isNotNull() & F.col(stamp).eqNullSafe(F.col("latest")))
+    return single.unionByName(_newest(late.select(*raw.columns)))
 
 
 def high_water(raw: DataFrame) -> DataFrame:
@@ -55,13 +50,26 @@ def high_water(raw: DataFrame) -> DataFrame:
     return raw.groupBy("city_id").agg(F.max("time").alias("high_water"))
 
 
-def newer_than(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def merged_marks(marks: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored marks brought forward by the rows of a new batch: the history is not read."""
+    return marks.unionByName(high_water(batch)).groupBy("city_id").agg(
+        F.max("high_water").alias("high_water")
+    )
+
+
+def newer_than(rows: DataFrame, marks: DataFrame, all_marked: bool = False) -> DataFrame:
     """Rows beyond their city's mark; all rows of a city without one.
 
     ``marks`` are written first, so that the planner knows their size: broadcast
-    while small, a shuffled join with skew handling beyond that.
+    while small, a shuffled join with skew handling beyond that. ``all_marked`` says
+    that every city in ``rows`` has a mark: the least one then bounds ``time`` in the
+    scan. Rows without a city have no mark and stay.
     """
     known = settle(marks, "high-water")
+    if all_marked:
+        least, without = known.agg(F.min("high_water"), F.count_if(F.col("high_water").isNull())).first()
+        if least is not None and not without:
+            rows = rows.where((F.col("time") > F.lit(least).cast("timestamp_ntz")) | F.col("city_id").isNull())
     fresh = F.col("high_water").isNull() | (F.col("time") > F.col("high_water"))
     return rows.join(known, "city_id", "left").where(fresh).select(*rows.columns)
 
@@ -72,31 +80,24 @@ def snapshot_diff(
     """Keys that were added, removed or changed between two snapshots of a table.
 
     Both snapshots come from one scan and meet in one aggregation instead of an
-    outer join: only keys and the compared columns are shuffled, and copies of a
-    key combine before. Per key and side, the number of rows and the least and
-    greatest value of each column are compared; for keys that are unique within
-    a snapshot that is the row itself.
+    outer join: only keys and a digest of the compared columns are shuffled, and
+    copies of a key combine before. Per key and side, the number of rows and the sums
+    of both halves of a 64-bit hash of the compared columns, gaps included, are
+    compared: they do not depend on the order of copies, and differ if the copies do.
     """
-    def sides(column: str) -> list[Column]:
-        return [
-            f(F.when(side, F.col(column))).alias(f"{name}_{label}_{column}")
-            for name, side in (("old", in_old), ("new", in_new))
-            for label, f in (("min", F.min), ("max", F.max))
-        ]
-
+    digest = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    halves = {"low": digest.bitwiseAND(F.lit(0xFFFFFFFF)), "high": F.shiftrightunsigned(digest, 32)}
+    sides = {"old": in_old, "new": in_new}
     met = rows.where(in_old | in_new).groupBy(*KEY).agg(
-        F.count_if(in_old).alias("old_rows"),
-        F.count_if(in_new).alias("new_rows"),
-        *[c for column in columns for c in sides(column)],
+        *[F.count_if(side).alias(f"{name}_rows") for name, side in sides.items()],
+        *[
+            F.sum(F.when(side, half)).alias(f"{name}_{part}")
+            for name, side in sides.items() for part, half in halves.items()
+        ],
     )
     same = reduce(
         Column.__and__,
-        [F.col("old_rows") == F.col("new_rows")]
-        + [
-            F.col(f"old_{label}_{c}").eqNullSafe(F.col(f"new_{label}_{c}"))
-            for c in columns
-            for label in ("min", "max")
-        ],
+        [F.col(f"old_{part}").eqNullSafe(F.col(f"new_{part}")) for part in ("rows", *halves)],
     )
     status = (
         F.when(F.col("old_rows") == 0, "added")

@@ -26,11 +26,18 @@ def rows_of(seed, count=300):
     ]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_newest_rows_by_brute_force(spark, limit):
-    """Few copied keys take the broadcast way, many the aggregation of all rows."""
+@pytest.fixture(params=["10m", "-1"])
+def broadcasts(request, spark):
+    """With joins as the planner likes them, and without any broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_newest_rows_by_brute_force(spark, broadcasts):
     rows = rows_of(1)
-    found = snapshots.latest_rows(hourly(spark, rows), broadcast_keys=limit).collect()
+    found = snapshots.latest_rows(hourly(spark, rows)).collect()
     unkeyed = [r for r in rows if r["city_id"] is None or r["time"] is None]
     best = {}
     for r in rows:
@@ -46,10 +53,11 @@ def test_newest_rows_by_brute_force(spark, limit):
     assert len(found) == len(best) + len(unkeyed)
 
 
-def test_both_ways_choose_the_same_rows(spark):
+def test_the_order_of_rows_does_not_matter(spark):
     raw = hourly(spark, rows_of(2))
-    few, many = snapshots.latest_rows(raw), snapshots.latest_rows(raw, broadcast_keys=0)
-    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0
+    one = snapshots.latest_rows(raw)
+    other = snapshots.latest_rows(raw.repartition(7, "precipitation"))
+    assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0
 
 
 def test_a_key_of_very_many_copies(spark):
@@ -72,6 +80,39 @@ def test_rows_beyond_the_mark(spark):
     assert found == {("paris", 3), ("paris", 4), ("tokyo", 0)}
 
 
+def test_marks_are_carried_forward_and_bound_the_scan(spark, tmp_path):
+    def rows(city, hours):
+        return [{"city_id": city, "time": START + timedelta(hours=h)} for h in hours]
+
+    marks = snapshots.high_water(hourly(spark, rows("paris", range(3)) + rows("tokyo", range(5))))
+    marks = snapshots.merged_marks(marks, hourly(spark, rows("paris", range(2, 5)) + rows("rome", [1])))
+    assert {(r.city_id, r.high_water.hour) for r in marks.collect()} == {("paris", 4), ("tokyo", 4), ("rome", 1)}
+    table = rows("paris", range(6)) + rows("tokyo", range(6)) + rows("rome", range(3)) + rows(None, [0])
+    hourly(spark, table).write.parquet(f"{tmp_path}/rows")
+    fresh = snapshots.newer_than(spark.read.parquet(f"{tmp_path}/rows"), marks, all_marked=True)
+    found = {(r.city_id, r.time.hour) for r in fresh.collect()}
+    assert found == {("paris", 5), ("tokyo", 5), ("rome", 2), (None, 0)}
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(time" in plan.split("PushedFilters", 1)[1]
+
+
+def test_copies_are_compared_as_multisets(spark):
+    def rows(batch, hour, values):
+        return [{"city_id": "paris", "time": START + timedelta(hours=hour), "batch_id": batch,
+                 "temperature_2m": t, "precipitation": p} for t, p in values]
+
+    table = hourly(spark, [
+        *rows("a", 0, [(1.0, 0.0), (2.0, 0.0), (3.0, 0.0)]), *rows("b", 0, [(1.0, 0.0), (2.5, 0.0), (3.0, 0.0)]),
+        *rows("a", 1, [(None, 0.0), (5.0, 0.0)]), *rows("b", 1, [(5.0, 0.0), (5.0, 0.0)]),
+        *rows("a", 2, [(None, 5.0)]), *rows("b", 2, [(5.0, None)]),
+        *rows("a", 3, [(1.0, 0.0), (None, 2.0)]), *rows("b", 3, [(None, 2.0), (1.0, 0.0)]),
+    ])
+    diff = snapshots.snapshot_diff(
+        table, F.col("batch_id") == "a", F.col("batch_id") == "b", ["temperature_2m", "precipitation"]
+    )
+    assert {r.time.hour: r.status for r in diff.collect()} == {0: "changed", 1: "changed", 2: "changed"}
+
+
 def test_differences_between_batches(spark):
     def row(hour, batch, temperature):
         return {"city_id": "paris", "time": START + timedelta(hours=hour), "batch_id": batch,
