@@ -19,7 +19,18 @@ MODES = ("backfill", "incremental", "custom")
 
 
 def cities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CITIES, CITY)
+    """The dimension as a local relation: the planner knows its size, and a join with
+    it moves no documents."""
+    values = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, CITIES)))
+    return values.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(values.columns, CITY.fields)])
+
+
+def require_in(dimension: DataFrame, city_ids: list[str]) -> None:
+    """An error that names the ids which the dimension lacks."""
+    found = dimension.where(F.col("city_id").isin(city_ids)).select("city_id").distinct().collect()
+    unknown = sorted(set(city_ids) - {row[0] for row in found})
+    if unknown:
+        raise ValueError(f"no such city: {unknown}")
 
 
 def known_city_ids() -> list[str]:

@@ -91,7 +91,8 @@ def documents_from_events(events: DataFrame, broken: bool = False) -> DataFrame:
     rows = (
         hourly_from_events(blocks, keep=("block",))
         .withColumn("day", F.to_date("time"))
-        .withColumn("week", F.to_date(F.date_trunc("week", "day")))
+        # Rows without a time go to the documents of one week.
+        .withColumn("week", F.to_date(F.date_trunc("week", F.coalesce("day", F.lit("2024-01-01").cast("date")))))
         # One exchange by document serves the days as well.
         .repartition(*request)
     )

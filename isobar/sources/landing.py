@@ -60,9 +60,13 @@ def requested(
     """Documents that can hold rows of the request, of the given cities or all.
 
     The conditions are on directory columns, so other documents are not read.
+    Documents in folders whose dates cannot be read may be of any day: they stay,
+    to be refused by name.
     """
     chosen = docs.where(
-        (F.col("start_date") <= F.lit(end).cast("date"))
+        F.col("start_date").isNull()
+        | F.col("end_date").isNull()
+        | (F.col("start_date") <= F.lit(end).cast("date"))
         & (F.col("end_date") >= F.lit(start).cast("date"))
     )
     return chosen if city_ids is None else chosen.where(F.col("city_id").isin(city_ids))

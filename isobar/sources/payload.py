@@ -51,6 +51,7 @@ def reject_reason() -> Column:
     return _first_of({
         "malformed_json": F.col(CORRUPT).isNotNull(),
         "empty_document": empty,
+        "unreadable_request": F.col("start_date").isNull() | F.col("end_date").isNull(),
         "unknown_city": F.col("city_name").isNull(),
         **{f"missing_{g}": F.col(g).isNull() for g in GRAINS},
         **{
@@ -100,8 +101,8 @@ def verdicts(judged: DataFrame) -> DataFrame:
 def enrich(docs: DataFrame, dimension: DataFrame) -> DataFrame:
     """Add ``city_name``. Done on documents, which are few, and not on rows.
 
-    The join has no hint: the dimension is local or a file, so the planner
-    knows its size.
+    The join has no hint: the planner knows the size of a local relation, as
+    ``cities`` is, and of files.
     """
     names = dimension.select("city_id", "city_name")
     return docs.join(names, "city_id", "left")
@@ -200,6 +201,16 @@ def within(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.where(F.col("time").isNull() | F.to_date("time").between(first, last))
 
 
+def within_requests(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of the days that were asked for of their city; rows without a time stay."""
+    asked = requests.select(
+        F.col("city_id").alias("asked_city"), F.col("start_date").alias("first"), F.col("end_date").alias("last")
+    )
+    day = F.to_date("time")
+    in_range = F.col("time").isNull() | day.between(F.col("first"), F.col("last"))
+    return rows.join(asked, (F.col("city_id") == F.col("asked_city")) & in_range, "left_semi")
+
+
 def ingest_stats(rows: DataFrame) -> DataFrame:
     """Per city and batch: how many rows came in, and for which days."""
     return rows.groupBy("city_id", "batch_id").agg(

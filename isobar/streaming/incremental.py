@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,6 +42,18 @@ def _append(df: DataFrame, path: str, checkpoint: str, *partitions: str) -> Stre
     )
 
 
+@dataclass(frozen=True)
+class Load:
+    """A running load: the rows, and the record of the documents that gave none."""
+
+    rows: StreamingQuery
+    refused: StreamingQuery
+
+    def awaitTermination(self) -> None:  # noqa: N802, as of the queries in it
+        self.rows.awaitTermination()
+        self.refused.awaitTermination()
+
+
 def load_new(
     spark: SparkSession,
     landing: str,
@@ -49,15 +63,20 @@ def load_new(
     form: str = "lines",
     on_failure: str = "quarantine",
     max_files: int | None = None,
-) -> StreamingQuery:
+) -> Load:
     """Start a run that loads what has landed since the last one, then ends.
 
+    Refused documents are recorded by the same run, beside the raw root; a run that
+    cannot do that fails.
+
     ``raw_root`` belongs to this stream alone. Its directories go by grain only:
     batch ids, one per second of landing, stay a column. ``max_files`` bounds a
     micro-batch when a long history is loaded at once.
     """
     judged = _judged(spark, landing, dimension, form, max_files)
-    return _append(all_rows(judged, on_failure), raw_root, checkpoint, "grain")
+    root, state = raw_root.rstrip("/"), checkpoint.rstrip("/")
+    refusals = record_refused(spark, landing, f"{root}_refused", f"{state}_refused", dimension, form, max_files)
+    return Load(_append(all_rows(judged, on_failure), raw_root, checkpoint, "grain"), refusals)
 
 
 def record_refused(

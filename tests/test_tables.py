@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from isobar.operators.staging import staging
 from isobar.plans import refresh as plan
 from isobar.plans import tables
-from isobar.plans.ingest import ingest
+from isobar.plans.ingest import RefusedDocuments, ingest
 from isobar.schema import DAILY, DAILY_VARIABLES, HOURLY_VARIABLES, LEGACY
 from isobar.sources.cities import (
     cities,
@@ -18,6 +18,8 @@ from isobar.sources.cities import (
     request_manifest,
     require_known,
 )
+from isobar.sources.landing import scan_landing
+from isobar.sources.payload import enrich
 from isobar.sources.raw import scan_raw, write_raw
 from isobar.streaming.incremental import load_new, record_refused
 
@@ -117,6 +119,91 @@ def test_a_refresh_of_some_days_takes_only_those_anew(spark, layers):
     assert marked.count() == 9
 
 
+def test_a_batch_of_no_day_keeps_the_marts(spark, layers):
+    raw = readings(spark, [1.0, 2.0, 4.0])
+    plan.refresh(layers, raw, raw)
+    for batch in (raw.limit(0), raw.withColumn("time", F.lit(None).cast("timestamp_ntz"))):
+        days = plan.days_of(batch)
+        assert days == plan.NO_DAYS
+        built = plan.refresh(layers, raw, raw, days=days)
+        assert built[plan.MART_DAILY].count() == 1
+        assert built[plan.MART_ANOMALIES].count() == 3
+
+
+def test_stored_days_are_not_mixed_with_others(spark, layers):
+    raw = readings(spark, [1.0, 2.0])
+    with pytest.raises(ValueError, match="refresh all days"):
+        plan.refresh(layers, raw, raw, days=plan.NO_DAYS)
+    plan.refresh(layers, raw, raw)
+    with pytest.raises(ValueError, match="fill=False"):
+        plan.refresh(layers, raw, raw, fill=False, days=plan.days_of(raw))
+    with pytest.raises(ValueError, match="NO_DAYS"):
+        plan.refresh(layers, raw, raw, days=(date(2026, 2, 8), None))
+
+
+def test_old_snapshots_go_and_the_table_stays(spark, layers):
+    table = "staging.weather_hourly"
+    for n in range(1, 6):
+        shown = tables.full_refresh(layers, staging(readings(spark, [1.0] * n)), table)
+        assert shown.count() == n
+    assert len(os.listdir(layers.path(table))) == tables.KEEP
+    with pytest.raises(ValueError):
+        tables.expire(layers, table, keep=0)
+
+
+def test_a_failure_before_the_table_moves_shows_the_old_rows(spark, layers, monkeypatch):
+    table = "staging.weather_hourly"
+    tables.full_refresh(layers, staging(readings(spark, [1.0, 2.0])), table)
+
+    def fail(*_):
+        raise RuntimeError("between the steps")
+
+    monkeypatch.setattr(tables, "_point_at", fail)
+    with pytest.raises(RuntimeError):
+        tables.full_refresh(layers, staging(readings(spark, [1.0])), table)
+    assert layers.table(table).count() == 2
+
+
+def test_a_streamed_root_is_registered_with_its_rows(spark, layers, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw"
+    land(landing, "paris", DAY, document(DAY, days=2), last="2026-02-09")
+    land(landing, "atlantis", DAY, document(DAY))
+    load_new(spark, str(landing), root, f"{tmp_path}/state", cities(spark)).awaitTermination()
+    raw = tables.register_raw(layers, root)
+    assert (raw[plan.HOURLY].count(), raw[plan.DAILY].count()) == (48, 2)
+    assert plan.refresh(layers, raw[plan.HOURLY], raw[plan.DAILY])[plan.MART_DAILY].count() == 2
+    recorded = [(r.city_id, r.reason) for r in spark.read.parquet(f"{root}_refused").collect()]
+    assert recorded == [("atlantis", "unknown_city")]
+
+
+def test_a_run_knows_its_cities_and_records_refusals(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw"
+    land(landing, "paris", DAY, document(DAY, days=2), last="2026-02-09")
+    land(landing, "tokyo", DAY, document(DAY, days=2), last="2026-02-09")
+    land(landing, "london", "__HIVE_DEFAULT_PARTITION__", document(DAY), last="2026-02-09")
+    with pytest.raises(ValueError, match="atlantis"):
+        ingest(spark, str(landing), root, cities(spark), "backfill", RUN_TS, city_ids=["paris", "atlantis"])
+    asked = spark.createDataFrame(
+        [("paris", date(2026, 2, 8), date(2026, 2, 8)), ("tokyo", date(2026, 2, 9), date(2026, 2, 9)),
+         ("london", date(2026, 2, 8), date(2026, 2, 9))], "city_id string, start_date date, end_date date"
+    )
+    ingest(spark, str(landing), root, cities(spark), "custom", RUN_TS, manifest=asked)
+    days = scan_raw(spark, "hourly", root).select("city_id", F.to_date("time").cast("string")).distinct().collect()
+    assert {tuple(r) for r in days} == {("paris", "2026-02-08"), ("tokyo", "2026-02-09")}
+    recorded = [(r.city_id, r.reason) for r in spark.read.parquet(f"{root}_refused").collect()]
+    assert recorded == [("london", "unreadable_request")]
+    with pytest.raises(RefusedDocuments):
+        ingest(spark, str(landing), f"{tmp_path}/other", cities(spark), "custom", RUN_TS,
+               start=DAY, end=DAY, on_refused="fail")
+
+
+def test_documents_are_not_moved_to_meet_their_city(spark, tmp_path):
+    land(tmp_path, "paris", DAY, document(DAY))
+    joined = enrich(scan_landing(spark, str(tmp_path)), cities(spark))
+    plan_text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan_text and "BroadcastHashJoin" in plan_text
+
+
 def test_build_once_leaves_a_table_alone(spark, layers):
     tables.build_once(layers, readings(spark, [1.0, 2.0]), "staging.weather")
     assert tables.build_once(layers, readings(spark, [1.0]), "staging.weather").count() == 2
