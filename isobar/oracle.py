@@ -205,11 +205,9 @@ MEASURES = """temperature_2m, cast(relative_humidity_2m as double) as relative_h
        precipitation, wind_speed_10m, cast(cloud_cover as double) as cloud_cover, pressure_msl"""
 PLACE = "city_id, city_name, latitude, longitude, timezone"
 STAMP = "timestamp '2024-02-01 03:04:05' as ingestion_timestamp, '20240201_030405' as batch_id"
-BACKFILL = "cast(time as date) between date '2024-01-01' and date '2025-12-31'"
 LAST_DAY = f"(select cast(max(time) as date) from ({RAW}))"
 
 HOURLY = f"select time, {MEASURES}, {PLACE} from ({RAW})"
-BACKFILLED = f"({RAW} where cast(ts as date) between date '2024-01-01' and date '2025-12-31')"
 
 
 def payload_daily(extra: str = "", where: str = "true") -> str:
@@ -327,12 +325,12 @@ def oracle_sql() -> dict[str, str]:
         "payload_hourly": f"select time, {MEASURES}, {PLACE}, {STAMP} from ({RAW})",
         "payload_daily": payload_daily(", " + STAMP),
         "payload_quarantine": HOURLY + " where city_id = 'click'",
-        "ingest_stats": ingest_stats(BACKFILL),
+        "ingest_stats": ingest_stats("true"),
         "custom_ingest": HOURLY + """ where city_id in ('click', 'view')
             and cast(time as date) between date '2024-01-05' and date '2024-01-09'""",
         "incremental_ingest": ingest_stats(f"cast(time as date) = {YESTERDAY}"),
-        "landing_roundtrip": f"{HOURLY} where {BACKFILL}",
-        "daily_scan": payload_daily(where=BACKFILL),
+        "landing_roundtrip": HOURLY,
+        "daily_scan": payload_daily(),
         "hourly_files": HOURLY,
         "daily_files": f"""
             select cast(cast(time as date) as timestamp) as time, city_id,
@@ -345,16 +343,20 @@ def oracle_sql() -> dict[str, str]:
                 end as temperature_2m,
                 case when city_id = 'error' then null else cloud_cover end as cloud_cover)
             from ({HOURLY})""",
-        "full_refresh": daily(stg(BACKFILLED), updated=False),
+        "full_refresh": daily(stg(), updated=False),
         "incremental_refresh": daily(stg()),
-        "full_refresh_anomalies": anomalies(stg(BACKFILLED)),
+        "refresh_after_empty_batch": daily(stg()),
+        "streamed_refresh": daily(stg(), updated=False),
+        "manifest_ingest": ingest_stats(
+            "cast(time as date) = cast(date '2024-01-01' + to_days(cast(length(city_id) as integer)) as date)"),
+        "full_refresh_anomalies": anomaly_rows,
         "table_listing": f"""
-            with raw as ({RAW}), stg as ({stg(f'select * from ({RAW}) where {BACKFILL}')})
+            with raw as ({RAW}), stg as ({stg()})
             select 'mart' as schema_name, 'weather_anomalies' as table_name, count(*) as row_count
             from ({bootstrap_anomalies('select * from stg')})
             union all select 'mart', 'weather_daily', count(*) from ({daily('stg')})
             union all select 'raw', 'weather_daily', count(*)
-                from ({payload_daily(where=BACKFILL)})
+                from ({payload_daily()})
             union all select 'raw', 'weather_hourly', count(*) from stg
             union all select 'staging', 'weather_hourly', count(*) from stg""",
         "build_once": daily(stg()),
@@ -386,6 +388,13 @@ def oracle_sql() -> dict[str, str]:
                    cloud_cover, pressure_msl, {PLACE}
             from raw left join marks using (city_id)
             where high_water is null or time > high_water""",
+        "high_water_bounded": f"""
+            with raw as ({RAW}), marks as (
+                select city_id, max(time) as high_water from raw
+                where time < timestamp '2024-01-10' group by city_id)
+            select time, temperature_2m, relative_humidity_2m, precipitation, wind_speed_10m,
+                   cloud_cover, pressure_msl, {PLACE}
+            from raw join marks using (city_id) where time > high_water""",
         "latest_batch": f"""
             select time, temperature_2m, relative_humidity_2m, precipitation, wind_speed_10m,
                    cloud_cover, pressure_msl, {PLACE}, ingestion_timestamp, batch_id
@@ -394,6 +403,18 @@ def oracle_sql() -> dict[str, str]:
                                        order by ingestion_timestamp desc, batch_id desc) = 1""",
         "snapshot_diff": SNAPSHOTS
         + "select city_id, time, status from met where status is not null",
+        "snapshot_diff_copies": f"""
+            with rows as (select date_trunc('day', time)::timestamp as time, city_id,
+                                 temperature_2m as t, precipitation as p from ({RAW})),
+                 old as (select city_id, time, list_sort(list(coalesce(t::varchar, 'gap') || '/' || coalesce(p::varchar, 'gap'))) as all_rows
+                         from rows where time < date '2024-01-26' group by city_id, time),
+                 new as (select city_id, time, list_sort(list(coalesce(t::varchar, 'gap') || '/' || coalesce(
+                             (case when extract(day from time) % 2 = 0 then coalesce(p, 0) else p end)::varchar, 'gap'))) as all_rows
+                         from rows where time >= date '2024-01-05' group by city_id, time)
+            select coalesce(o.city_id, n.city_id) as city_id, coalesce(o.time, n.time) as time,
+                   case when o.time is null then 'added' when n.time is null then 'removed' else 'changed' end as status
+            from old o full outer join new n on o.city_id = n.city_id and o.time = n.time
+            where o.all_rows is distinct from n.all_rows""",
         "snapshot_diff_counts": SNAPSHOTS
         + "select city_id, status, count(*) as keys from met where status is not null "
         "group by city_id, status",

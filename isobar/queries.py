@@ -229,19 +229,18 @@ def _dimension(spark, sf_dir):
     return settle(events.cities_from_events(_events(spark, sf_dir)), "cities")
 
 
-_landed: dict[tuple, str] = {}
+def _landing(spark, sf_dir, broken=False) -> str:
+    """Documents of all events, landed anew for each query."""
+    path = scratch(spark, "landing")
+    documents = events.documents_from_events(_events(spark, sf_dir), broken)
+    landing.write_landing(documents, path)
+    return path
 
 
-def _landing(spark, sf_dir, broken=False) -> str:
-    """Documents of all events, landed once per session: they are the input of
-    the payload queries, not a part of them."""
-    key = (spark.sparkContext.applicationId, sf_dir, broken)
-    if key not in _landed:
-        path = scratch(spark, "landing")
-        documents = events.documents_from_events(_events(spark, sf_dir), broken)
-        landing.write_landing(documents, path)
-        _landed[key] = path
-    return _landed[key]
+def _days(spark, sf_dir) -> dict[str, str]:
+    """The first and last day of all events, as a custom request."""
+    first, last = _events(spark, sf_dir).agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return {"start": str(first), "end": str(last)}
 
 
 def _judged(spark, sf_dir, broken=False):
@@ -280,7 +279,8 @@ def payload_quarantine(spark, sf_dir):
 
 
 def _ingest(spark, sf_dir, root, **request):
-    options = {"mode": "backfill", "run_ts": RUN_TS, **request}
+    options = request or {"mode": "custom", **_days(spark, sf_dir)}
+    options = {"run_ts": RUN_TS, **options}
     return ingest(spark, _landing(spark, sf_dir), root, _dimension(spark, sf_dir), **options)
 
 
@@ -317,7 +317,7 @@ def daily_scan(spark, sf_dir):
 def _flat_files(spark, sf_dir) -> str:
     """Canonical files of two hourly batches and one daily batch in one folder."""
     path, rows = scratch(spark, "files"), _raw(spark, sf_dir)
-    early = F.to_date("time") <= F.lit(date(2024, 1, 15))
+    early = F.coalesce(F.to_date("time") <= F.lit(date(2024, 1, 15)), F.lit(False))
     hourly, daily = conform(rows, HOURLY), conform(_daily_grain(rows), DAILY)
     hourly.where(early).write.parquet(f"{path}/all_hourly_2024-01-01_2024-01-15_one.parquet")
     hourly.where(~early).write.parquet(f"{path}/all_hourly_2024-01-16_2024-12-31_two.parquet")
@@ -339,7 +339,7 @@ def drifted_scan(spark, sf_dir):
     """Files of whole-number temperatures, files without cloud cover, and others."""
     path = scratch(spark, "drifted")
     rows = _raw(spark, sf_dir)
-    click, error = F.col("city_id") == "click", F.col("city_id") == "error"
+    click, error = (F.col("city_id").eqNullSafe(F.lit(c)) for c in ("click", "error"))
     whole = rows.where(click).withColumn("temperature_2m", F.floor("temperature_2m"))
     whole.write.parquet(path)
     rows.where(error).drop("cloud_cover").write.mode("append").parquet(path)
@@ -380,6 +380,33 @@ def incremental_refresh(spark, sf_dir):
     return _rounded(refreshed[layers_plan.MART_DAILY], DAILY_DOUBLES)
 
 
+def refresh_after_empty_batch(spark, sf_dir):
+    """Refresh, then again after a batch without rows: the mart stays as it is."""
+    layers, rows = _layers(spark), _raw(spark, sf_dir)
+    layers_plan.refresh(layers, rows, _daily_grain(rows))
+    nothing = layers_plan.days_of(rows.where("false"))
+    refreshed = layers_plan.refresh(layers, rows, _daily_grain(rows), days=nothing)
+    return _rounded(refreshed[layers_plan.MART_DAILY], DAILY_DOUBLES)
+
+
+def streamed_refresh(spark, sf_dir):
+    """Load all documents by a stream, register what it wrote, refresh."""
+    path, root, state = _landing(spark, sf_dir), scratch(spark, "raw"), scratch(spark, "state")
+    load_new(spark, path, root, state, _dimension(spark, sf_dir)).awaitTermination()
+    layers = _layers(spark)
+    registered = tables.register_raw(layers, root)
+    refreshed = layers_plan.refresh(layers, registered[layers_plan.HOURLY], registered[layers_plan.DAILY])
+    return _rounded(refreshed[layers_plan.MART_DAILY].drop("last_updated"), DAILY_DOUBLES)
+
+
+def manifest_ingest(spark, sf_dir):
+    """Another last day for each city: the day of the month is the length of its name."""
+    root, dimension = scratch(spark, "raw"), _dimension(spark, sf_dir)
+    day = F.date_add(F.lit(date(2024, 1, 1)), F.length("city_id"))
+    manifest = dimension.select("city_id", day.alias("start_date"), day.alias("end_date"))
+    return _ingest(spark, sf_dir, root, mode="custom", manifest=manifest)
+
+
 def full_refresh_anomalies(spark, sf_dir):
     _, refreshed = _refreshed(spark, sf_dir)
     return _rounded(refreshed[layers_plan.MART_ANOMALIES], SCORES)
@@ -424,7 +451,7 @@ def incremental_load(spark, sf_dir):
     path, root, state = (scratch(spark, n) for n in ("landing", "raw", "state"))
     dimension = _dimension(spark, sf_dir)
     documents = settle(events.documents_from_events(_events(spark, sf_dir)), "documents")
-    later = F.col("start_date") >= F.lit(date(2024, 1, 15))
+    later = F.coalesce(F.col("start_date") >= F.lit(date(2024, 1, 15)), F.lit(True))
     for part in (~later, later, None):
         if part is not None:
             landing.write_landing(documents.where(part), path)
@@ -442,6 +469,16 @@ def high_water_delta(spark, sf_dir):
     return snapshots.newer_than(rows, snapshots.high_water(taken)).select(*HOURLY_COLUMNS)
 
 
+def high_water_bounded(spark, sf_dir):
+    """As before, with a mark for every city: stored marks, brought forward by a batch."""
+    rows = _raw(spark, sf_dir)
+    first, second = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-05", "2024-01-10"))
+    marks = settle(snapshots.high_water(rows.where(F.col("time") < first)), "marks")
+    batch = rows.where((F.col("time") >= first) & (F.col("time") < second))
+    marks = snapshots.merged_marks(marks, batch)
+    return snapshots.newer_than(rows, marks, all_marked=True).select(*HOURLY_COLUMNS)
+
+
 def latest_batch(spark, sf_dir):
     columns = [*HOURLY_COLUMNS, "ingestion_timestamp", "batch_id"]
     return snapshots.latest_rows(_overlapping(spark, sf_dir)).select(*columns)
@@ -465,6 +502,20 @@ def snapshot_diff(spark, sf_dir):
     return _snapshots(spark, sf_dir)
 
 
+def snapshot_diff_copies(spark, sf_dir):
+    """Keys with copies: a city and day each. The new snapshot corrects rows without
+    humidity, and fills gaps of precipitation on even days."""
+    rows = _raw(spark, sf_dir).withColumn("time", F.date_trunc("day", "time").cast("timestamp_ntz"))
+    day = F.to_date("time")
+    old = rows.where(day <= F.lit(date(2024, 1, 25))).withColumn("batch_id", F.lit("old"))
+    dry = (F.dayofmonth("time") % 2 == 0) & F.col("precipitation").isNull()
+    new = rows.where(day >= F.lit(date(2024, 1, 5))).withColumns({
+        "batch_id": F.lit("new"), "precipitation": F.when(dry, 0.0).otherwise(F.col("precipitation")),
+    })
+    is_old, is_new = F.col("batch_id") == "old", F.col("batch_id") == "new"
+    return snapshots.snapshot_diff(old.unionByName(new), is_old, is_new, ["temperature_2m", "precipitation"])
+
+
 def snapshot_diff_counts(spark, sf_dir):
     return snapshots.diff_counts(_snapshots(spark, sf_dir))
 
@@ -509,6 +560,9 @@ QUERIES = [
     full_refresh,
     full_refresh_anomalies,
     incremental_refresh,
+    refresh_after_empty_batch,
+    streamed_refresh,
+    manifest_ingest,
     table_listing,
     build_once,
     legacy_table,
@@ -516,8 +570,10 @@ QUERIES = [
     dq_results,
     incremental_load,
     high_water_delta,
+    high_water_bounded,
     latest_batch,
     snapshot_diff,
+    snapshot_diff_copies,
     snapshot_diff_counts,
 ]
 

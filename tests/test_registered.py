@@ -6,6 +6,7 @@ import pytest
 from compare import mismatch, views
 
 import __spark_entry__ as entry
+from isobar import oracle, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,7 +17,8 @@ def connection():
 
 
 def test_each_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry.queries())
 
 
 def test_entry_has_the_daily_columns(spark):
@@ -40,7 +42,7 @@ def test_matches_sql_without_broadcasts(spark, connection, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_matches_sql(spark, connection, name):
     actual, sql = entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name]
     assert mismatch(actual, sql, connection) is None
