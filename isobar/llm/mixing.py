@@ -96,8 +96,8 @@ def mix(
     if weight is None:
         expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ranked = (
-        rows.join(plan_key, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "factors", "factor")
-        .withColumn("expected", expected)
+        rows.join(plan_key, F.col("source").eqNullSafe(F.col("s")), "left")
+        .withColumn("expected", expected).drop("s", "factors", "factor")
         .withColumn("certain", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("certain"))
         .withColumn("odds", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
