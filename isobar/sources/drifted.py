@@ -3,107 +3,149 @@
 Files written by other tools carry the types their writer inferred: nanosecond
 timestamps, one measure as integer here, as double there, and as an all-null
 column elsewhere, variables missing. Spark's reader takes one schema for all
-files and refuses such a set. This scan casts every piece to the canonical
-schema on its own, so 1.5 stays 1.5 whichever file comes first. Use it once, to
-bring foreign files into the raw layer; canonical files need only ``scan_files``.
-
-A row group is the unit of work, so a large file is read by many tasks, and
-only file names and row-group numbers are shuffled.
+files and refuses such a set. So files are put in groups of one schema each, by
+their footers; Spark reads every group as it is, with its own pruning and
+pushdown, and the groups are cast to the canonical schema and put together.
+1.5 stays 1.5 whichever file comes first, and a value that a cast would change
+stops the scan with its file and column. Use this once, to bring foreign files
+into the raw layer; canonical files need only ``scan_files``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+import json
+import logging
+from functools import reduce
 
-PIECES = "path string, row_group int"
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
+from isobar.functions.calendar import utc_wall_clock
 
-def _opener():
-    # Returned as an inner function: it is shipped to the tasks by value, and
-    # needs nothing but pyarrow there.
-    def open_parquet(path: str):
-        import pyarrow.fs
-        import pyarrow.parquet
+log = logging.getLogger(__name__)
 
-        uri = path.replace("s3a://", "s3://", 1)
-        if uri.startswith("file:/") and not uri.startswith("file://"):
-            uri = "file://" + uri[len("file:"):]
-        filesystem, name = pyarrow.fs.FileSystem.from_uri(uri)
-        return pyarrow.parquet.ParquetFile(filesystem.open_input_file(name))
+#: what Spark reads a column as, by the type in the file's footer
+READ_AS = {
+    "bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint",
+    "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)",
+    "float": "float", "double": "double", "string": "string", "large_string": "string",
+    "date32[day]": "date", "timestamp[ms]": "timestamp_ntz", "timestamp[us]": "timestamp_ntz",
+}
+NANOS = "timestamp[ns"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
-    return open_parquet
 
+def _footers():
+    # Returned as an inner function: it is shipped to the tasks by value, and
+    # needs nothing but pyarrow there.
+    def read(batches):
+        import json
 
-def _row_groups(open_parquet):
-    def listed(batches):
         import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet
 
         for batch in batches:
-            paths, groups = [], []
+            shapes = []
             for path in batch.column(0).to_pylist():
-                with open_parquet(path) as file:
-                    count = file.num_row_groups
-                paths += [path] * count
-                groups += range(count)
-            yield pa.record_batch(
-                [pa.array(paths, pa.string()), pa.array(groups, pa.int32())],
-                names=["path", "row_group"],
-            )
+                uri = path.replace("s3a://", "s3://", 1)
+                if uri.startswith("file:/") and not uri.startswith("file://"):
+                    uri = "file://" + uri[len("file:"):]
+                filesystem, name = pyarrow.fs.FileSystem.from_uri(uri)
+                with pyarrow.parquet.ParquetFile(filesystem.open_input_file(name)) as file:
+                    shapes.append(json.dumps([[f.name, str(f.type)] for f in file.schema_arrow]))
+            yield pa.record_batch([batch.column(0), pa.array(shapes, pa.string())], names=["path", "shape"])
 
-    return listed
+    return read
 
 
-def _rows(open_parquet, columns: list[tuple[str, str]]):
-    def read(batches):
-        import pyarrow as pa
+def _plain(kind: str) -> str:
+    """The type of the values of a dictionary-encoded column, or the type itself."""
+    return kind.split("values=", 1)[1].split(",", 1)[0] if kind.startswith("dictionary<") else kind
 
-        kinds = {
-            "timestamp_ntz": pa.timestamp("us"),
-            "double": pa.float64(),
-            "int": pa.int32(),
-            "string": pa.string(),
-        }
-        target = pa.schema([(name, kinds[kind]) for name, kind in columns])
-
-        def conformed(rows):
-            present = set(rows.schema.names)
-            arrays = [
-                rows.column(field.name).cast(field.type, safe=False)
-                if field.name in present
-                else pa.nulls(rows.num_rows, field.type)
-                for field in target
-            ]
-            return pa.record_batch(arrays, schema=target)
 
-        for batch in batches:
-            for piece in batch.to_pylist():
-                with open_parquet(piece["path"]) as file:
-                    wanted = [n for n in target.names if n in file.schema_arrow.names]
-                    groups = file.iter_batches(
-                        row_groups=[piece["row_group"]], columns=wanted, batch_size=16384
-                    )
-                    for rows in groups:
-                        yield conformed(rows)
+def _read_type(kind: str) -> str | None:
+    """The type to read a column with; None for an all-null one."""
+    if kind == "null":
+        return None
+    if kind.startswith(NANOS):
+        return "bigint"
+    if kind.startswith("timestamp[") and "tz=" in kind:
+        return "timestamp"
+    if kind not in READ_AS:
+        raise ValueError(f"no way to read a column of type {kind}")
+    return READ_AS[kind]
 
-    return read
+
+def _lossless(value: Column, same: Column, changed: Column, target: StructField) -> Column:
+    """``value`` where it says the same as before, an error with file and column where not."""
+    told = F.concat(
+        F.lit(f"{target.name} cannot hold "), changed.cast("string"), F.lit(" of "), F.col("_metadata.file_path")
+    )
+    return F.when(changed.isNull() | same, value).otherwise(F.raise_error(told))
+
+
+def _cast(source: str, kind: str, target: StructField) -> Column:
+    """A column as the canonical type."""
+    column, wanted = F.col(f"`{source}`"), target.dataType.simpleString()
+    if kind.startswith(NANOS):
+        micros = F.floor(column / F.lit(1000).cast("decimal(20,0)")).cast("bigint")
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return _lossless(F.timestamp_add("MICROSECOND", micros, epoch), column % 1000 == 0, column, target).cast(wanted)
+    read = _read_type(kind)
+    if read == "timestamp":
+        column = utc_wall_clock(column)
+    if wanted == "int" and read in (*WHOLE, "float", "double", "decimal(20,0)"):
+        return _lossless(column.try_cast("int"), column == column.try_cast("int"), column, target)
+    if wanted == "double" and read in ("bigint", "decimal(20,0)"):
+        back = column.cast("double").try_cast(read)
+        return _lossless(column.cast("double"), column == back, column, target)
+    return column.cast(target.dataType)
 
 
 def scan_drifted(
-    spark: SparkSession, directory: str, schema: StructType, glob: str = "*.parquet"
+    spark: SparkSession, directory: str, schema: StructType, glob: str = "*.parquet", others: bool = False
 ) -> DataFrame:
-    """All rows of the files under ``directory`` that match ``glob``, as ``schema``."""
-    open_parquet = _opener()
+    """All rows of the files under ``directory`` that match ``glob``, as ``schema``.
+
+    Variables beyond the schema are named in the log; with ``others`` they are kept as
+    text in a map column of that name. Nanoseconds are read as integers, which is a
+    setting of the session. There is one scan for each different footer.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(directory)
-        .select("path")
-    )
-    columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-    return (
-        files.mapInArrow(_row_groups(open_parquet), PIECES)
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path")
         # A fixed number: by size, these few names would be coalesced into one task.
         .repartition(4 * spark.sparkContext.defaultParallelism)
-        .mapInArrow(_rows(open_parquet, columns), schema)
+        .mapInArrow(_footers(), "path string, shape string")
     )
+    # The driver lists these files for the scans anyway.
+    groups = files.groupBy("shape").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("shape").collect()
+    scans = [_scan_group(spark, json.loads(g["shape"]), list(g["paths"]), schema, others) for g in groups]
+    if not scans:
+        extra = [StructField("others", _OTHERS)] if others else []
+        return spark.createDataFrame([], StructType(schema.fields + extra))
+    return reduce(DataFrame.unionByName, scans)
+
+
+_OTHERS = MapType(StringType(), StringType())
+
+
+def _scan_group(
+    spark: SparkSession, shape: list[list[str]], paths: list[str], schema: StructType, others: bool
+) -> DataFrame:
+    kinds = {name: _plain(kind) for name, kind in shape}
+    unknown = sorted(set(kinds) - set(schema.names))
+    if unknown:
+        log.warning("variables beyond the schema in %s files: %s", len(paths), ", ".join(unknown))
+    wanted = [n for n in kinds if n in schema.names or others]
+    read = {n: t for n in wanted if (t := _read_type(kinds[n])) is not None}
+    rows = spark.read.schema(", ".join(f"`{n}` {t}" for n, t in read.items()) or "none int").parquet(*paths)
+    columns = [
+        (_cast(f.name, kinds[f.name], f) if f.name in read else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ]
+    if others:
+        pairs = [x for n in unknown if n in read for x in (F.lit(n), F.col(f"`{n}`").cast("string"))]
+        columns.append((F.create_map(*pairs) if pairs else F.lit(None)).cast(_OTHERS).alias("others"))
+    return rows.select(*columns)

@@ -42,6 +42,29 @@ def test_drifting_types_keep_their_values(spark, tmp_path):
     }
 
 
+def test_values_that_a_cast_would_change_are_errors(spark, tmp_path):
+    for name, values in (("half", [3.7, 1.0]), ("huge", [5e9, 1.0])):
+        foreign(tmp_path / f"{name}.parquet", [1.0, 2.0], pa.float64(), extra={"weather_code": pa.array(values)})
+        rows = scan_drifted(spark, f"{tmp_path}/{name}.parquet", HOURLY)
+        with pytest.raises(Exception, match=f"weather_code cannot hold .*{name}.parquet"):
+            rows.collect()
+    pq.write_table(pa.table({"time": pa.array([1], pa.timestamp("ns"))}), tmp_path / "fine.parquet")
+    with pytest.raises(Exception, match="time cannot hold 1 of"):
+        scan_drifted(spark, f"{tmp_path}/fine.parquet", HOURLY).collect()
+
+
+def test_other_variables_are_kept_and_columns_pruned(spark, tmp_path):
+    foreign(tmp_path / "a.parquet", [1.0, 2.0], pa.float64(), extra={"surprise": pa.array(["x", None])})
+    foreign(tmp_path / "b.parquet", [1, 2], pa.int64(), extra={"zoned": pa.array(TIMES, pa.timestamp("us", "UTC"))})
+    rows = scan_drifted(spark, str(tmp_path), HOURLY, others=True)
+    kept = {(r.city_id, (r.others or {}).get("surprise")) for r in rows.collect()}
+    assert kept == {("a", "x"), ("a", None), ("b", None)}
+    narrow = scan_drifted(spark, str(tmp_path), HOURLY).select("city_id")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.replace("ReadSchema", "\nReadSchema").splitlines() if line.startswith("ReadSchema")]
+    assert len(schemas) == 2 and all("city_id" in s and "temperature_2m" not in s for s in schemas)
+
+
 def test_each_row_group_is_read_once(spark, tmp_path):
     count = 10_000
     pq.write_table(
