@@ -27,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
+from isobar.llm import words as W
 from isobar.session import scratch, settle
 
 BLOCK, PERCENTILE = 1 << 14, 95
 MAGIC = b"PFORIDS1"
 _HEAD, _INDEX, _TRAILER = struct.Struct("<IIBI"), struct.Struct("<II"), struct.Struct("<Q8s")
-#: Words, and parts of words, whose ids a worker remembers.
-WORDS, PARTS = 300_000, 800_000
+#: Words whose ids a worker remembers, about 50 bytes each.
+WORDS = 3_000_000
+#: White space that separates words; any other is left to the tokenizer.
+BREAKS = np.zeros(256, bool)
+BREAKS[list(b" \t\n\r")] = True
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -86,42 +90,99 @@ def decode_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
     return (rest + np.uint64(least)).astype(np.uint32)
 
 
-_memo: dict[str, bytes] = {}
-_parts: dict[str, bytes] = {}
-_tokenizers: dict[int, tuple[Tokenizer, str, int]] = {}
-
-
-def _tokenizer(spec: str) -> tuple[Tokenizer, str, int]:
+class _Known:
+    """The ids of the words that a worker has met, by the hash of the word, in flat arrays."""
+
+    def __init__(self, spec: str):
+        self.tokenizer = Tokenizer.from_str(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        #: which ids end a word
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.used = 0
+        self.parts: dict[str, np.ndarray] = {}
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put the ids of each part in ``parts``, in few calls.
+
+        Parts of letters only are one word each to the tokenizer. They are handed over
+        in one string with spaces between, and the ids that end a word tell them apart.
+        All other parts go alone.
+        """
+        letters = [p for p in parts if p.isalpha() and (p.isascii() or max(p) <= "\xff")]
+        for low in range(0, len(letters), 2000):
+            some = letters[low : low + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                begin = 0
+                for part, end in zip(some, ends.tolist()):
+                    self.parts[part] = ids[begin:end]
+                    begin = end
+        rest = [p for p in parts if p not in self.parts]
+        for part, one in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[part] = np.array(one.ids, "<u4")
+
+    def add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Learn new words; ``hashes`` ascend."""
+        cut = [_cut(w) for w in words]
+        self._learn(list({p for pair in cut for p in pair}))
+        pieces = [self.parts[p] for pair in cut for p in pair]
+        self.parts.clear()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(axis=1)
+        new = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used : self.used + len(new)] = new
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += len(new)
+        at = np.searchsorted(self.hash, hashes)
+        self.hash = np.insert(self.hash, at, hashes)
+        self.begin = np.insert(self.begin, at, begin)
+        self.size = np.insert(self.size, at, sizes)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, ``end`` behind each, and how many each row has.
+
+        The tokenizer's model never sees across white space, so a text's ids are those
+        of its words, and each new word goes through the tokenizer once.
+        """
+        if len(self.hash) > WORDS:
+            self.forget()
+        starts, ends, values, first = W.spans(data, offsets, BREAKS, fold=False)
+        seen, where, which = np.unique(values, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hash, seen), max(0, len(self.hash) - 1))
+        new = np.flatnonzero(self.hash[at] != seen) if len(self.hash) else np.arange(len(seen))
+        if len(new):
+            raw = data.tobytes()
+            spots = where[new]
+            self.add(seen[new], [raw[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist())])
+        at = np.searchsorted(self.hash, seen)
+        size = self.size[at][which]
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.begin[at][which] - before[:-1], size) + np.arange(before[-1])]
+        row_ends = before[first[1:]]
+        counts = np.diff(np.concatenate(([0], row_ends))) + 1
+        return np.insert(ids, row_ends, end).astype("<u4"), counts
+
+
+_known: dict[int, _Known] = {}
+
+
+def _encoder(spec: str) -> _Known:
+    """Kept for the next task of this worker."""
     key = zlib.crc32(spec.encode())
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _memo.clear()
-        _parts.clear()
-        made = Tokenizer.from_str(spec)
-        marks = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
-        mark = next((t for t in marks if len(t) > 2), "")
-        _tokenizers[key] = made, mark, marks.get(mark, -1)
-    return _tokenizers[key]
-
-
-def _learn(parts: list[str], made: Tokenizer, mark: str, mark_id: int) -> None:
-    """Put the ids of each part in ``_parts``, all in few calls.
-
-    Parts are handed over in one string with a special token between them, which
-    the tokenizer cuts out before anything else; one that holds the beginning of
-    that token goes alone.
-    """
-    plain = [p for p in parts if p and mark and mark[:2] not in p]
-    for low in range(0, len(plain), 5000):
-        some = plain[low : low + 5000]
-        ids = np.array(made.encode(mark.join(some), add_special_tokens=False).ids, "<u4")
-        begin = 0
-        for part, end in zip(some, [*np.flatnonzero(ids == mark_id).tolist(), len(ids)], strict=True):
-            _parts[part] = ids[begin:end].tobytes()
-            begin = end + 1
-    rest = [p for p in parts if p not in _parts]
-    for part, one in zip(rest, made.encode_batch(rest, add_special_tokens=False)):
-        _parts[part] = np.array(one.ids, "<u4").tobytes()
+    if key not in _known:
+        _known.clear()
+        _known[key] = _Known(spec)
+    return _known[key]
 
 
 def _cut(word: str) -> tuple[str, str]:
@@ -130,44 +191,23 @@ def _cut(word: str) -> tuple[str, str]:
     The tokenizer lower-cases letters and separates them from marks itself, so the
     ids are the same, and fewer different parts have to go through it.
     """
-    core = word.rstrip(".,;:!?|")
+    core = word.rstrip(".,;:!?|*%$#&")
     if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
         return core.lower(), word[len(core) :]
     return word, ""
 
 
-def _encode(texts: list[str], spec: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
-
-    The tokenizer's model never sees across white space, so a text's ids are those
-    of its words one after another, and each new word goes through the tokenizer once.
-    """
-    made, mark, mark_id = _tokenizer(spec)
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    if len(_memo) > WORDS:
-        _memo.clear()
-    if len(_parts) > PARTS:
-        _parts.clear()
-    new = [(w, *_cut(w)) for w in set().union(*split) if w not in _memo]
-    _learn(list({p for _, *cut in new for p in cut if p not in _parts}), made, mark, mark_id)
-    for word, core, marks in new:
-        _memo[word] = _parts[core] + _parts[marks]
-    for words in split:
-        yield b"".join([_memo[w] for w in words])
-
-
-def _index(offset: int, starts: list[int], ids: list[int | None], counts: list[int]) -> bytes:
+def _index(offset: int, starts: list[int], ids: list[int | None], counts: np.ndarray) -> bytes:
     """The index record and the trailer, of a file whose blocks end at ``offset``."""
     return b"".join([
         _INDEX.pack(len(ids), len(starts)), np.array(starts, "<u8").tobytes(),
         bytes(i is not None for i in ids), np.array([i or 0 for i in ids], "<i8").tobytes(),
-        np.array(counts, "<u4").tobytes(), b"\n", _TRAILER.pack(offset, MAGIC),
+        counts.astype("<u4").tobytes(), b"\n", _TRAILER.pack(offset, MAGIC),
     ])
 
 
 def _records(spec, end: int):
     def run(batches):
-        last = np.array([end], "<u4").tobytes()
         pending, held, offset = [], 0, 0
         starts, ids, counts = [], [], []
 
@@ -176,30 +216,31 @@ def _records(spec, end: int):
 
         def blocks(everything: bool) -> Iterator[bytes]:
             nonlocal pending, held, offset
-            whole = np.frombuffer(b"".join(pending), "<u4")
+            whole = np.concatenate(pending) if pending else np.zeros(0, "<u4")
             stop = len(whole) if everything else len(whole) // BLOCK * BLOCK
             for low in range(0, stop, BLOCK):
                 record = encode_block(whole[low : min(stop, low + BLOCK)])
                 starts.append(offset)
                 offset += len(record) + 1
                 yield record
-            pending, held = [whole[stop:].tobytes()], len(whole) - stop
+            pending, held = [whole[stop:].copy()], len(whole) - stop
 
+        known = _encoder(spec.value)
         for batch in batches:
-            texts = batch.column("text")
-            for low in range(0, len(texts), 256):
-                some = [t or "" for t in texts.slice(low, 256).to_pylist()]
-                ids.extend(batch.column("doc_id").slice(low, 256).to_pylist())
-                for data in _encode(some, spec.value):
-                    pending.append(data + last)
-                    counts.append(len(data) // 4 + 1)
-                    held += counts[-1]
+            data, offsets = W.flat(batch.column("text"))
+            ids.extend(batch.column("doc_id").to_pylist())
+            for low, high in W.groups(offsets):
+                at = offsets[low : high + 1]
+                some, sizes = known.encode(data[at[0] : at[-1]], at - at[0], end)
+                pending.append(some)
+                held += len(some)
+                counts.append(sizes)
                 if held >= 8 * BLOCK:
                     yield from map(out, blocks(False))
         if not ids:
             return
         yield from map(out, blocks(True))
-        yield out(_index(offset, starts, ids, counts))
+        yield out(_index(offset, starts, ids, np.concatenate(counts)))
     return run
 
 
@@ -219,6 +260,7 @@ def write_token_files(docs: DataFrame, path: str, spec: str, end: int = 1) -> No
 
 
 def _documents(batches):
+    _known.clear()  # reading needs the memory, not the words
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             data = memoryview(content.as_buffer())

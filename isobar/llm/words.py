@@ -72,59 +72,66 @@ def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         low = min(high, n)
 
 
-def _piece(data: np.ndarray, space: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and last two bytes of the words in one piece; first: bytes that begin a row."""
+def _piece(
+    data: np.ndarray, space: np.ndarray, first: np.ndarray, fold: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in one piece; first: bytes that begin a row."""
     start = ~space
     end = start.copy()
     start[1:] &= space[:-1] | first[1:]
     end[:-1] &= space[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     power, inverse = _power(len(data))
-    low = _LOWER[data]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    tails = low[ends - 1].astype(np.uint16)
-    tails |= np.where(ends - starts > 1, low[ends - 2], np.uint8(0)).astype(np.uint16) << np.uint16(8)
-    return starts, mix((sums[ends] - sums[starts]) * inverse[starts]), tails
-
+    coded = (_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)
+    np.cumsum(coded * power[: len(data)], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts])
 
-def hashes(
-    data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE
-) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and for each row the index of its first word (one more at the end)."""
-    values, first, _ = tailed(data, offsets, spaces)
-    return values, first
 
+def spans(
+    data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE, fold: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, and for each row the index of its first word (one more at the end).
 
-def tailed(
-    data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``hashes`` returns, and the last two bytes of each word."""
+    Without ``fold`` A-Z and a-z differ.
+    """
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    starts, values, tails, low = [], [], [], 0
+    parts, low = [], 0
     while low < n:
         high = min(n, low + PIECE)
-        if high < n:
-            # A piece ends before a space or a row's first byte, wherever the next one is.
-            step = PIECE
-            while high < n:
-                found = np.flatnonzero(spaces[data[high : high + step]] | first[high : min(n, high + step)])
-                if len(found):
-                    high += int(found[0])
-                    break
-                high = min(n, high + step)
+        # A piece ends before a space or a row's first byte, wherever the next one is.
+        while high < n:
+            found = np.flatnonzero(spaces[data[high : high + PIECE]] | first[high : min(n, high + PIECE)])
+            if len(found):
+                high += int(found[0])
+                break
+            high = min(n, high + PIECE)
         part = data[low:high]
-        at, value, tail = _piece(part, spaces[part], first[low:high])
-        starts.append(at + low)
-        values.append(value)
-        tails.append(tail)
+        starts, ends, values = _piece(part, spaces[part], first[low:high], fold)
+        parts.append((starts + low, ends + low, values))
         low = high
-    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    values = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    tails = np.concatenate(tails) if tails else np.zeros(0, np.uint16)
-    return values, np.searchsorted(starts, offsets).astype(np.int64), tails
+    if not parts:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    starts, ends, values = (np.concatenate(p) for p in zip(*parts))
+    return starts, ends, values, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def hashes(
+    data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE
+) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and for each row the index of its first word (one more at the end)."""
+    _, _, values, first = spans(data, offsets, spaces)
+    return values, first
+
+
+def tailed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``hashes`` returns, and the last two bytes of each word."""
+    starts, ends, values, first = spans(data, offsets)
+    tails = _LOWER[data[ends - 1]].astype(np.uint16)
+    tails |= np.where(ends - starts > 1, _LOWER[data[ends - 2]], np.uint8(0)).astype(np.uint16) << np.uint16(8)
+    return values, first, tails
 
 
 _ORDER = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
