@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from isobar.session import settle
+
 # --- Fixed values: the declared not-null columns of each table ---------------
 NOT_NULL = {
     "raw.weather_hourly": ["time", "city_id", "city_name"],
@@ -114,16 +116,52 @@ def not_null_checks(
     ])
 
 
+def _reduced(df: DataFrame, checks: list[Check], key: str, keys: list[str] | None) -> DataFrame:
+    """One row per value of ``key``: its rows, the failures of each check (f0, f1, …) and,
+    with ``keys``, how many of these occur more than once. One scan of the table."""
+    counts = [c.failures.cast("bigint").alias(f"f{i}") for i, c in enumerate(checks)]
+    if keys is None:
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("copies"), *counts)
+    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *counts)
+    return single.groupBy(key).agg(
+        F.sum("rows").alias("rows"), F.count_if(present & (F.col("rows") > 1)).alias("copies"),
+        *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(checks))],
+    )
+
+
 def declared_checks(
     tables: dict[str, DataFrame], more: dict[str, list[Check]] | None = None
 ) -> DataFrame:
-    """All declared checks: 16 not-null, one unique, one relationships."""
-    results = [not_null_checks(tables, more)]
-    results += [unique(tables[name], name, keys) for name, keys in UNIQUE.items()]
-    results += [
-        relationships(tables[child], tables[parent], child, key)
-        for (child, key), parent in RELATIONSHIPS.items()
-    ]
+    """All declared checks: 16 not-null, one unique, one relationships.
+
+    Each table is read once. Tables that a relationship or a unique key speaks of are
+    reduced to one small row per value of the relationship's key, from which all
+    their results follow; those rows are written, as several results need them.
+    """
+    extra = more or {}
+    results, small = [], {}
+    key_of = {t: key for (child, key), parent in RELATIONSHIPS.items() for t in (child, parent)}
+    for name, df in tables.items():
+        checks = not_null(NOT_NULL[name]) + extra.get(name, [])
+        if name not in key_of:
+            results.append(tally(df, name, checks))
+            continue
+        keys = UNIQUE.get(name)
+        small[name] = settle(_reduced(df, checks, key_of[name], keys), "checked")
+
+        def total(column: str) -> Column:
+            return F.coalesce(F.sum(column), F.lit(0))
+
+        again = [Check(c.name, c.column, total(f"f{i}")) for i, c in enumerate(checks)]
+        if keys is not None:
+            again.append(Check("unique", ",".join(keys), total("copies")))
+        results.append(tally(small[name], name, again))
+    for (child, key), parent in RELATIONSHIPS.items():
+        held = small[child].where(F.col(key).isNotNull()).select(key, "rows")
+        known = small[parent].where(F.col(key).isNotNull()).select(key, F.lit(True).alias("known"))
+        missing = held.join(known, key, "left").where(F.col("known").isNull())
+        results.append(tally(missing, child, [Check("relationships", key, F.coalesce(F.sum("rows"), F.lit(0)))]))
     return union(results)
 
 
