@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": sql.MIX, "op5_warc": sql.ARCHIVE}
+    return {"op2_pareto_mix": sql.MIX, "op5_warc": sql.ARCHIVE, "op8_minhash": sql.NEAR_DUPLICATES}

@@ -4,6 +4,9 @@ from collections import Counter, defaultdict
 
 from odd_rows import NASTY
 
+from compare import mismatch, views
+
+from isobar.llm import queries, sql
 from isobar.llm.components import components
 from isobar.llm.minhash import near_duplicates
 
@@ -69,6 +72,11 @@ def test_groups_of_copies_by_brute_force(docs):
     assert found(near_duplicates(docs(rows))) == brute_force(rows)
 
 
+def test_matches_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert mismatch(queries.op8_minhash(spark, sf_dir), sql.NEAR_DUPLICATES, views(sf_dir)) is None
+
+
 def test_odd_rows(docs):
     result = near_duplicates(docs(NASTY)).collect()
     assert len(result) == len(NASTY)
