@@ -58,15 +58,22 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when(pruned, 0.0).otherwise(both / (na + nb - both))
 
 
-def _order(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, n, next_id, next_tie, prev_n) of each different row (doc_id, text), in a circle by doc_id, tie.
+def _keys() -> list[Column]:
+    """Two hashes that tell a row (doc_id, text) from all others, and are never null."""
+    return [F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("k1"), F.xxhash64("text").alias("k2")]
 
-    Row numbers come from range partitions: the number in the partition, and the
-    rows of the partitions before, of which there is one sum each.
+
+def _circle(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n, copies, p1, p2, take) of each different row (doc_id, text).
+
+    Rows stand in a circle by doc_id and k2; p1 and p2 are the keys of the one before,
+    ``take`` how many of this row's first code points it asks for. Row numbers come from
+    range partitions: the number in the partition, and the rows of the partitions
+    before, of which there is one sum each.
     """
-    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("tie"), length.alias("n")).distinct()
-    ranged = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")
+    narrow = docs.select("doc_id", *_keys(), length).groupBy("doc_id", "k1", "k2", "n").agg(F.count("*").alias("copies"))
+    ranged = narrow.repartitionByRange("doc_id", "k2").sortWithinPartitions("doc_id", "k2")
     numbered = ranged.withColumn("number", F.monotonically_increasing_id()).withColumns({
         "part": F.shiftright("number", 33), "at": F.col("number").bitwiseAND(F.lit((1 << 33) - 1)),
     })
@@ -76,11 +83,14 @@ def _order(docs: DataFrame) -> DataFrame:
     parts = settle(parts.select(
         "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), F.sum("rows").over(Window.partitionBy()).alias("total")
     ), "parts")
-    ranked = numbered.join(parts, "part").select("doc_id", "tie", "n", (F.col("base") + F.col("at")).alias("rank"), "total")
-    following = ranked.select(
-        F.pmod(F.col("rank") - 1, F.col("total")).alias("rank"), F.col("doc_id").alias("next_id"), F.col("tie").alias("next_tie")
+    ranked = numbered.join(parts, "part").select(
+        "doc_id", "k1", "k2", "n", "copies", (F.col("base") + F.col("at")).alias("rank"), "total"
+    )
+    previous = ranked.select(
+        F.pmod(F.col("rank") + 1, F.col("total")).alias("rank"), F.col("k1").alias("p1"), F.col("k2").alias("p2"),
+        F.floor(F.col("n") / 4).cast("int").alias("take"),
     )
-    return settle(ranked.join(following, "rank").select("doc_id", "tie", "n", "next_id", "next_tie"), "circle")
+    return settle(ranked.join(previous, "rank").drop("rank", "total"), "circle")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,22 +102,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of a hash of their texts. Equal rows are one document, and each has its result. A
     null text is empty; a text without words has an empty fingerprint. Other columns
     are ignored.
+
+    Texts are shuffled once, to meet their place in the circle; what the row before
+    needs of them goes on from there: at most a quarter of its length, and the set.
     """
-    circle = _order(docs)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("tie"))
-    given = circle.select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), "n")
-    # What each document needs of its next one: who asks for it, and how much of it.
-    asked = circle.select(
-        F.col("next_id").alias("i"), F.col("next_tie").alias("t"), F.col("doc_id").alias("for_id"),
-        F.col("tie").alias("for_tie"), F.floor(F.col("n") / 4).alias("take"),
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))
-    own = rows.join(given, same).drop("i", "t")
-    heads = rows.distinct().join(asked, same).select(
-        "for_id", "for_tie", F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"), signatures(F.col("text")).alias("next_spots")
-    )
-    joined = own.join(heads, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("tie") == F.col("for_tie")))
+    circle = _circle(docs)
+    # Both uses of the rows have these columns, so they share one exchange.
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_keys())
+    placed = rows.join(circle, ["k1", "k2"])
+    heads = placed.select("p1", "p2", F.substring("text", F.lit(1), F.col("take")).alias("head"), signatures(F.col("text")).alias("next_spots"))
+    if not circle.where("copies > 1").isEmpty():
+        heads = heads.dropDuplicates(["p1", "p2"])
+    own = placed.select("doc_id", "text", "k1", "k2", "n")
+    joined = own.join(heads, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     kept = (F.col("n") - F.floor(F.col("n") / 4)).cast("int")
     edited = joined.select(
         "doc_id", "n", "next_spots", signatures(F.col("text")).alias("spots"),
