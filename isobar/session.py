@@ -21,9 +21,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/isobar/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new, unused path for the intermediate output named ``label``."""
-    return f"{checkpoint_dir(spark)}/isobar/{label}-{uuid.uuid4().hex}"
+    """A new, unused path for the intermediate output named ``label``, in the application's own folder."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate output, at the end of a job whose results are written.
+
+    DataFrames that were made from it cannot be read any more.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

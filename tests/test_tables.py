@@ -7,6 +7,7 @@ from fixtures import RUN_TS, document, hourly, land
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from isobar import session
 from isobar.operators.staging import staging
 from isobar.plans import refresh as plan
 from isobar.plans import tables
@@ -204,6 +205,14 @@ def test_documents_are_not_moved_to_meet_their_city(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan_text and "BroadcastHashJoin" in plan_text
 
 
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path))
+    assert session.settle(readings(spark, [1.0]), "some").count() == 1
+    assert os.listdir(f"{tmp_path}/isobar")
+    session.clear_scratch(spark)
+    assert not os.listdir(f"{tmp_path}/isobar")
+
+
 def test_build_once_leaves_a_table_alone(spark, layers):
     tables.build_once(layers, readings(spark, [1.0, 2.0]), "staging.weather")
     assert tables.build_once(layers, readings(spark, [1.0]), "staging.weather").count() == 2
