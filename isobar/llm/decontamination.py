@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages, passages into blocks of at most ``RANK``. For
+Benchmark items are cut into passages, passages into blocks of about three quarters of ``RANK``. For
 each block the matrix of TF-IDF weights by hashed terms has a randomised singular
 value decomposition: a random projection, refined by power iterations, whose products
 with the matrix are summed over its rows by Spark. What the right singular vectors
@@ -27,13 +27,18 @@ TERMS = 1 << 18
 RANK, OVERSAMPLING, ITERATIONS = 256, 16, 2
 WINDOW, STEP = 32, 8
 #: Least cosine of a candidate.
-COSINE = 0.3
+COSINE = 0.4
+#: Terms in more than this share of all documents, and in more than so many of them, weigh nothing, but for passages
+#: that have fewer than ``SPARED`` others.
+COMMON, OFTEN, SPARED = 0.05, 100, 4
 #: Least share of an item in the common subsequence, alone and together with its answer.
 ALONE, WITH_ANSWER = 0.75, 0.5
 #: Without an answer of its own, an item's answer is this share of it, at its end.
 TAIL = 0.25
 #: Words of an item in one passage, and blocks that are compared in one reading of the documents.
 PASSAGE, BLOCKS = 64, 16
+#: Parts of a block whose products the driver sums, each (terms of the block) x (rank) numbers.
+PARTS = 6
 #: Items of fewer words are too short to tell.
 LEAST_WORDS = 6
 
@@ -60,13 +65,14 @@ def _frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(counts[cut])], ["term", "n"])
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((texts + 1) / (texts with the term + 1)) + 1 of every hashed term, from all rows of ``docs``."""
+def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """log((texts + 1) / (texts with the term + 1)) + 1 of every hashed term, from all rows of ``docs``; which are common."""
     counts = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     n = np.zeros(TERMS)
     n[found["term"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return (np.log((docs.count() + 1) / (n + 1)) + 1).astype(np.float32)
+    texts = docs.count()
+    return (np.log((texts + 1) / (n + 1)) + 1).astype(np.float32), n > max(OFTEN, COMMON * texts)
 
 
 def _passages(batches):
@@ -93,6 +99,19 @@ def _matrix(passages, vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _spared(common):
+    """The terms of passages that common terms make up but for a few."""
+    def run(batches):
+        for batch in batches:
+            terms = set()
+            for passage in batch.column("passage").to_pylist():
+                own = np.unique((np.asarray(passage, np.int64).view(np.uint64) % np.uint64(TERMS)).astype(np.int64))
+                if (~common.value[own]).sum() < SPARED:
+                    terms.update(own.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(terms), pa.int64())], ["term"])
+    return run
+
+
 def _product(vocabulary, idf, basis):
     """The sum of a^T (a Q) over the rows a of a part of the matrix."""
     def run(batches):
@@ -117,7 +136,8 @@ def _latent(block: DataFrame, vocabulary: np.ndarray, idf, rank: int) -> np.ndar
     for _ in range(ITERATIONS + 1):
         shared = context.broadcast(basis.astype(np.float32))
         total = np.zeros(basis.shape)
-        for row in block.select("passage").mapInArrow(_product(shared_terms, idf, shared), "part binary").toLocalIterator():
+        parts = block.select("passage").coalesce(PARTS).mapInArrow(_product(shared_terms, idf, shared), "part binary")
+        for row in parts.collect():
             total += np.frombuffer(row.part, np.float32).reshape(basis.shape)
         basis, values, _ = np.linalg.svd(total, full_matrices=False)
         shared.unpersist()
@@ -147,17 +167,58 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _found(batch: pa.RecordBatch, model: dict, squared: np.ndarray) -> list[tuple]:
     """(row, item, cosine, share of it in common, share of its answer) of the items that the rows of a batch hold."""
     found = []
-    for low, high, value, first in _terms(batch):
+    for low, _, value, first in _terms(batch):
         term = (value % np.uint64(TERMS)).astype(np.int64)
         weight = squared[term]
         for block in model["blocks"]:
-            row = block["row"][term]
-            for i in np.flatnonzero(np.diff(first) > 0):
-                span = slice(first[i], first[i + 1])
-                found += [(low + int(i), *hit) for hit in _search(value[span], weight[span], row[span], block)]
+            for (doc, item), (cosine, start) in _candidates(weight, block["row"][term], first, block).items():
+                words, answer = block["words"][item]
+                reach = len(words) + WINDOW
+                begin, end = max(first[doc], start - reach), min(first[doc + 1], start + reach + WINDOW)
+                taken = _common(words, value[begin:end])
+                whole, tail = float(taken.mean()), float(taken[answer:].mean())
+                if whole >= ALONE or (whole >= WITH_ANSWER and tail >= WITH_ANSWER):
+                    found.append((low + doc, item, cosine, whole, tail))
     return found
 
 
+def _candidates(weight: np.ndarray, row: np.ndarray, first: np.ndarray, block: dict) -> dict:
+    """(text, item) → highest cosine and the first word of its window, for some texts.
+
+    ``weight`` and ``row`` of each word; ``first``: where the texts begin.
+    """
+    n = np.diff(first)
+    count = np.where(n > 0, -(-np.maximum(1, n - WINDOW + STEP) // STEP), 0)
+    text = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    starts = first[text] + nth * STEP
+    ends = np.minimum(starts + WINDOW, first[text + 1])
+    known = np.concatenate(([0.0], np.cumsum(np.where(row >= 0, weight, 0), dtype=np.float64)))
+    every = np.concatenate(([0.0], np.cumsum(weight, dtype=np.float64)))
+    # Squared lengths are sums over words, as a term's weight is the root of its number.
+    squares = np.maximum(every[ends] - every[starts], 1e-9)
+    hopeful = np.flatnonzero(known[ends] - known[starts] >= COSINE**2 * squares)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    terms = len(block["basis"])
+    for at in range(0, len(hopeful), 2048):
+        some = hopeful[at : at + 2048]
+        size = ends[some] - starts[some]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[some], size)
+        own = row[place]
+        key, times = np.unique((np.repeat(np.arange(len(some)), size) * terms + own)[own >= 0], return_counts=True)
+        window, begin = np.unique(key // terms, return_index=True)
+        if not len(key):
+            continue
+        images = np.add.reduceat(block["basis"][key % terms] * np.sqrt(times).astype(np.float32)[:, None], begin, axis=0)
+        cosines = images @ block["images"].T / np.sqrt(squares[some[window]])[:, None]
+        for k, j in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE))):
+            w = some[window[k]]
+            pair, cosine = (int(text[w]), int(block["item"][j])), float(cosines[k, j])
+            if cosine > best.get(pair, (0.0, 0))[0]:
+                best[pair] = cosine, int(starts[w])
+    return best
+
+
 def _matches(model):
     def run(batches):
         squared = model.value["idf"] ** 2
@@ -181,54 +242,21 @@ def _clean(model):
     return run
 
 
-def _search(value, weight, row, block):
-    """(item, cosine, share of it in common, share of its answer) of the items that one document holds."""
-    n = len(value)
-    starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
-    ends = np.minimum(starts + WINDOW, n)
-    inside = row >= 0
-    known = np.concatenate(([0.0], np.cumsum(np.where(inside, weight, 0), dtype=np.float64)))
-    every = np.concatenate(([0.0], np.cumsum(weight, dtype=np.float64)))
-    # Squared lengths are sums over words, as a term's weight is the root of its number.
-    share = (known[ends] - known[starts]) / np.maximum(every[ends] - every[starts], 1e-9)
-    hopeful = np.flatnonzero(share >= COSINE**2)
-    best: dict[int, tuple[float, int]] = {}
-    for at in range(0, len(hopeful), 512):
-        some = hopeful[at : at + 512]
-        images = np.empty((len(some), block["basis"].shape[1]), np.float32)
-        for k, w in enumerate(some):
-            own = row[starts[w] : ends[w]]
-            own, count = np.unique(own[own >= 0], return_counts=True)
-            images[k] = np.sqrt(count) @ block["basis"][own]
-        lengths = np.sqrt(np.maximum(every[ends[some]] - every[starts[some]], 1e-9))
-        cosines = images @ block["images"].T / lengths[:, None]
-        for k, j in zip(*np.nonzero(cosines >= COSINE)):
-            item, cosine = int(block["item"][j]), float(cosines[k, j])
-            if cosine > best.get(item, (0.0, 0))[0]:
-                best[item] = cosine, int(starts[some[k]])
-    for item, (cosine, start) in best.items():
-        words, answer = block["words"][item]
-        reach = len(words) + WINDOW
-        taken = _common(words, value[max(0, start - reach) : start + reach + WINDOW])
-        whole, end = taken.mean(), taken[answer:].mean()
-        if whole >= ALONE or (whole >= WITH_ANSWER and end >= WITH_ANSWER):
-            yield item, cosine, float(whole), float(end)
-
-
 def _models(docs: DataFrame, benchmark: DataFrame, rank: int):
     """Broadcast models of ``BLOCKS`` blocks each."""
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs)
-    shared_idf = spark.sparkContext.broadcast(idf)
+    idf, common = inverse_frequencies(docs)
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
     passages = items.mapInArrow(_passages, "item_id long, words array<long>, passage array<long>").where(F.size("words") >= LEAST_WORDS)
-    # Blocks are ranges of the passages in the order of ids, numbered in range partitions.
-    ordered = passages.repartitionByRange("item_id").sortWithinPartitions("item_id")
-    passages = settle(ordered.withColumn("number", F.monotonically_increasing_id()), "passages")
-    part, at = F.shiftright("number", 33), F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = passages.groupBy(F.floor((part * (1 << 33) + at) / RANK).alias("block")).agg(F.count("*").alias("n")).orderBy("block").collect()
-    blocks = [passages.where(F.floor((part * (1 << 33) + at) / RANK) == s["block"]) for s in sizes]
-    for low in range(0, len(blocks), BLOCKS):
+    # Three quarters of the rank on average, so that a block's passages hardly ever outnumber it.
+    passages = settle(passages, "passages")
+    n = -(-passages.count() // (RANK * 3 // 4))
+    spared = passages.select("passage").mapInArrow(_spared(spark.sparkContext.broadcast(common)), "term long").distinct()
+    common[[row.term for row in spared.collect()]] = False  # at most TERMS
+    idf[common] = 0
+    shared_idf = spark.sparkContext.broadcast(idf)
+    blocks = [passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n)) == i) for i in range(n)]
+    for low in range(0, n, BLOCKS):
         yield spark.sparkContext.broadcast({"idf": idf, "blocks": [_block(b, idf, shared_idf, rank) for b in blocks[low : low + BLOCKS]]})
 
 
@@ -260,7 +288,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> D
 
 def _block(block: DataFrame, idf: np.ndarray, shared_idf, rank: int) -> dict:
     """The latent space of a block, the images of its passages, and the words of its items."""
-    rows = block.collect()  # at most RANK passages
+    rows = sorted(block.collect(), key=lambda r: (r["item_id"], r["passage"]))  # about three quarters of RANK
+    if not rows:
+        return {"row": np.full(TERMS, -1, np.int32), "basis": np.zeros((1, 1), np.float32), "images": np.zeros((0, 1), np.float32),
+                "item": np.zeros(0, np.int64), "words": {}}
     passages = [r["passage"] for r in rows]
     terms = [(np.array(p, np.int64).view(np.uint64) % np.uint64(TERMS)).astype(np.int64) for p in passages]
     vocabulary = np.unique(np.concatenate(terms))
