@@ -169,9 +169,12 @@ def train(sample: list[tuple[int, list[bytes], str]], share: float) -> dict:
     learn, calibrate = sample[:cut], sample[cut:]
     toxic = list(dict.fromkeys(w for label, own, _ in learn if label for w in own))
     ordinary = list(dict.fromkeys(w for label, own, _ in learn if not label for w in own))
-    often = _frequency(toxic)
-    ratio = np.log((often + 0.1) / max(1, len(toxic))) - np.log((_frequency(ordinary) + 0.5) / max(1, len(ordinary)))
-    telling = (ratio > RATIO) & (often >= np.clip(len(toxic) // ONE_OF, *LEAST))
+    often, plainly = _frequency(toxic), _frequency(ordinary)
+    runs = np.flatnonzero(often >= np.clip(len(toxic) // ONE_OF, *LEAST))
+    ratio = np.log((often[runs] + 0.1) / max(1, len(toxic))) - np.log((plainly[runs] + 0.5) / max(1, len(ordinary)))
+    telling = np.zeros(_BUCKETS, bool)
+    telling[runs[ratio > RATIO]] = True
+    del often, plainly
     size, plain = 0, []
     for window in ordinary:
         size += len(window)
