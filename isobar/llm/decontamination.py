@@ -6,12 +6,13 @@ value decomposition: a random projection, refined by power iterations, whose pro
 with the matrix are summed over its rows by Spark. What the right singular vectors
 span is the latent space. Document frequencies come from all documents.
 
-A document's passages are windows of ``WINDOW`` words, ``STEP`` apart. A term outside
-the benchmark adds nothing to a window's image in the latent space, only to its
-length, so the length of the rest bounds its cosine with any item: only windows above
-that bound are projected. Those whose cosine is high enough are candidates, confirmed
-word by word: the longest common subsequence of item and document must hold enough of
-the item, or less of it together with its answer.
+A document's passages are windows of words. Each passage of the benchmark is looked for
+in windows of the least of ``WIDTHS`` that it fits in, a quarter of that apart. A term
+outside the benchmark adds nothing to a window's image in the latent space, only to its
+length. What the terms of a window give to its product with an item, repeats in full,
+bounds the cosine: only windows above that bound are projected. Those whose cosine is
+high enough are candidates, confirmed word by word: the longest common subsequence of
+item and document must hold enough of the item, or less of it together with its answer.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from isobar.session import settle
 
 TERMS = 1 << 18
 RANK, OVERSAMPLING, ITERATIONS = 256, 16, 2
-WINDOW, STEP = 32, 8
-#: Least cosine of a candidate.
-COSINE = 0.4
+#: Words of windows, and in how many steps the next one is reached.
+WIDTHS, STEPS = (8, 16, 32, 64), 4
+#: Least cosine of a candidate. A window that holds the share s of a passage, all words weighing the same, has
+#: s * sqrt(passage / width), which is 0.35 for the least share ``WITH_ANSWER`` and the shortest passage of a width.
+COSINE = 0.25
 #: Terms in more than this share of all documents, and in more than so many of them, weigh nothing, but for passages
 #: that have fewer than ``SPARED`` others.
 COMMON, OFTEN, SPARED = 0.05, 100, 4
@@ -82,8 +85,9 @@ def _passages(batches):
             for i in range(high - low):
                 own = value[first[i] : first[i + 1]].view(np.int64)
                 item = batch.column("item_id")[low + i].as_py()
-                for at in range(0, len(own), PASSAGE):
-                    rows.append((item, own.tolist(), own[at : at + PASSAGE].tolist()))
+                # Of about equal length: one of them holds at least the share that the whole item has in common.
+                for part in np.array_split(own, max(1, -(-len(own) // PASSAGE))):
+                    rows.append((item, own.tolist(), part.tolist()))
         items, whole, part = zip(*rows) if rows else ([], [], [])
         lists = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(whole, lists), pa.array(part, lists)], ["item_id", "words", "passage"])
@@ -171,52 +175,102 @@ def _found(batch: pa.RecordBatch, model: dict, squared: np.ndarray) -> list[tupl
         term = (value % np.uint64(TERMS)).astype(np.int64)
         weight = squared[term]
         for block in model["blocks"]:
-            for (doc, item), (cosine, start) in _candidates(weight, block["row"][term], first, block).items():
-                words, answer = block["words"][item]
-                reach = len(words) + WINDOW
-                begin, end = max(first[doc], start - reach), min(first[doc + 1], start + reach + WINDOW)
-                taken = _common(words, value[begin:end])
-                whole, tail = float(taken.mean()), float(taken[answer:].mean())
-                if whole >= ALONE or (whole >= WITH_ANSWER and tail >= WITH_ANSWER):
+            for (doc, item), windows in _candidates(weight, block["row"][term], first, block).items():
+                best = _confirmed(value[first[doc] : first[doc + 1]], windows, first[doc], *block["words"][item])
+                if best:
+                    whole, tail, cosine = best
                     found.append((low + doc, item, cosine, whole, tail))
     return found
 
 
+def _confirmed(text: np.ndarray, windows: list[tuple], origin: int, words: np.ndarray, answer: int) -> tuple | None:
+    """(share in common, share of the answer, cosine) where the windows (first word, width, cosine) confirm an item best.
+
+    It is looked for in a window and as many words on either side as item and window have.
+    """
+    spans = sorted(
+        (max(0, begin - origin - width - len(words)), min(len(text), begin - origin + 2 * width + len(words)), cosine)
+        for begin, width, cosine in windows
+    )
+    best, done = None, 0
+    while done < len(spans):
+        # Overlapping spans: words that all of them together lack are lacking in each.
+        last, end = done + 1, spans[done][1]
+        while last < len(spans) and spans[last][0] < end:
+            end = max(end, spans[last][1])
+            last += 1
+        if np.isin(words, text[spans[done][0] : end]).mean() >= WITH_ANSWER:
+            for low, high, cosine in sorted(spans[done:last], key=lambda span: -span[2]):
+                most = float(np.isin(words, text[low:high]).mean())
+                if most < WITH_ANSWER or (best and (most, 1.0) <= best[:2]):
+                    continue
+                taken = _common(words, text[low:high])
+                whole, tail = float(taken.mean()), float(taken[answer:].mean())
+                if whole >= ALONE or (whole >= WITH_ANSWER and tail >= WITH_ANSWER):
+                    best = max(best or (0.0, 0.0, 0.0), (whole, tail, cosine))
+        done = last
+    return best
+
+
 def _candidates(weight: np.ndarray, row: np.ndarray, first: np.ndarray, block: dict) -> dict:
-    """(text, item) → highest cosine and the first word of its window, for some texts.
+    """(text, item) → (first word, width, cosine) of the best window of at least ``COSINE``, for some texts.
 
     ``weight`` and ``row`` of each word; ``first``: where the texts begin.
     """
     n = np.diff(first)
-    count = np.where(n > 0, -(-np.maximum(1, n - WINDOW + STEP) // STEP), 0)
-    text = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    starts = first[text] + nth * STEP
-    ends = np.minimum(starts + WINDOW, first[text + 1])
-    known = np.concatenate(([0.0], np.cumsum(np.where(row >= 0, weight, 0), dtype=np.float64)))
+    text_of = np.repeat(np.arange(len(n)), n)
     every = np.concatenate(([0.0], np.cumsum(weight, dtype=np.float64)))
-    # Squared lengths are sums over words, as a term's weight is the root of its number.
-    squares = np.maximum(every[ends] - every[starts], 1e-9)
-    hopeful = np.flatnonzero(known[ends] - known[starts] >= COSINE**2 * squares)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    terms = len(block["basis"])
-    for at in range(0, len(hopeful), 2048):
-        some = hopeful[at : at + 2048]
-        size = ends[some] - starts[some]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[some], size)
-        own = row[place]
-        key, times = np.unique((np.repeat(np.arange(len(some)), size) * terms + own)[own >= 0], return_counts=True)
-        window, begin = np.unique(key // terms, return_index=True)
-        if not len(key):
-            continue
-        images = np.add.reduceat(block["basis"][key % terms] * np.sqrt(times).astype(np.float32)[:, None], begin, axis=0)
-        cosines = images @ block["images"].T / np.sqrt(squares[some[window]])[:, None]
-        for k, j in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE))):
-            w = some[window[k]]
-            pair, cosine = (int(text[w]), int(block["item"][j])), float(cosines[k, j])
-            if cosine > best.get(pair, (0.0, 0))[0]:
-                best[pair] = cosine, int(starts[w])
-    return best
+    found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for width, items, gains in block["widths"]:
+        step = width // STEPS
+        count = np.where(n > 0, -(-np.maximum(1, n - width + step) // step), 0)
+        text = np.repeat(np.arange(len(n)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        starts = first[text] + nth * step
+        ends = np.minimum(starts + width, first[text + 1])
+        # Squared lengths are sums over words, as a term's weight is the root of its number.
+        squares = np.maximum(every[ends] - every[starts], 1e-9)
+        # A step of words has a place, a text so many more that no window reaches the next text.
+        places = -(-n // step) + STEPS - 1
+        base = np.cumsum(places) - places
+        window = base[text] + nth
+        ahead = np.maximum(gains, 0)
+        telling = np.flatnonzero((row >= 0) & ahead.any(axis=1)[row])
+        place = base[text_of[telling]] + (telling - first[text_of[telling]]) // step
+        least = (COSINE * 0.9999 * np.sqrt(squares)).astype(np.float32)[:, None]
+        for low in range(0, int(places.sum()), 4096):
+            words = telling[(cut := slice(*np.searchsorted(place, (low, low + 4096 + STEPS - 1))))]
+            some = slice(*np.searchsorted(window, (low, low + 4096)))
+            if not len(words) or some.start == some.stop:
+                continue
+            held, begin = np.unique(place[cut] - low, return_index=True)
+            sums = np.zeros((4096 + STEPS - 1, len(items)), np.float32)
+            sums[held] = np.add.reduceat(ahead[row[words]], begin, axis=0)
+            total = sums[:4096].copy()
+            for i in range(1, STEPS):
+                total += sums[i : i + 4096]
+            hopeful = some.start + np.flatnonzero((total[window[some] - low] >= least[some]).any(axis=1))
+            for k, j, cosine in _cosines(hopeful, starts, ends, row, squares, gains):
+                pair = int(text[k]), int(items[j])
+                if pair not in found or cosine > found[pair][0][2]:
+                    found[pair] = [(int(starts[k]), width, cosine)]
+    return found
+
+
+def _cosines(some: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, squares: np.ndarray, gains: np.ndarray):
+    """(window, passage, cosine) of at least ``COSINE`` of some windows."""
+    if not len(some):
+        return
+    terms = len(gains)
+    size = ends[some] - starts[some]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[some], size)
+    own = row[place]
+    key, times = np.unique((np.repeat(np.arange(len(some)), size) * terms + own)[own >= 0], return_counts=True)
+    which, begin = np.unique(key // terms, return_index=True)
+    cosines = np.add.reduceat(gains[key % terms] * np.sqrt(times).astype(np.float32)[:, None], begin, axis=0)
+    cosines /= np.sqrt(squares[some[which]])[:, None]
+    for k, j in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE))):
+        yield int(some[which[k]]), j, float(cosines[k, j])
 
 
 def _matches(model):
@@ -287,11 +341,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> D
 
 
 def _block(block: DataFrame, idf: np.ndarray, shared_idf, rank: int) -> dict:
-    """The latent space of a block, the images of its passages, and the words of its items."""
+    """The terms of a block, what they add in its latent space to the passages of each width, and the words of its items."""
     rows = sorted(block.collect(), key=lambda r: (r["item_id"], r["passage"]))  # about three quarters of RANK
     if not rows:
-        return {"row": np.full(TERMS, -1, np.int32), "basis": np.zeros((1, 1), np.float32), "images": np.zeros((0, 1), np.float32),
-                "item": np.zeros(0, np.int64), "words": {}}
+        return {"row": np.full(TERMS, -1, np.int32), "widths": [], "words": {}}
     passages = [r["passage"] for r in rows]
     terms = [(np.array(p, np.int64).view(np.uint64) % np.uint64(TERMS)).astype(np.int64) for p in passages]
     vocabulary = np.unique(np.concatenate(terms))
@@ -303,7 +356,12 @@ def _block(block: DataFrame, idf: np.ndarray, shared_idf, rank: int) -> dict:
     for r in rows:
         own = np.array(r["words"], np.int64).view(np.uint64)
         words[r["item_id"]] = own, min(len(own) - 1, int(len(own) * (1 - TAIL)))
-    return {
-        "row": row, "basis": basis * idf[vocabulary][:, None], "images": images / np.maximum(np.linalg.norm(images, axis=1, keepdims=True), 1e-12),
-        "item": np.array([r["item_id"] for r in rows]), "words": words,
-    }
+    images /= np.maximum(np.linalg.norm(images, axis=1, keepdims=True), 1e-12)
+    # What one occurrence of a term adds to the product of a window's image with that of each passage.
+    gains = (basis * idf[vocabulary][:, None]) @ images.T
+    item, widths = np.array([r["item_id"] for r in rows]), []
+    fit = np.searchsorted(WIDTHS, [len(p) for p in passages])
+    for i in np.unique(fit):
+        own = gains[:, fit == i]
+        widths.append((WIDTHS[i], item[fit == i], np.where(np.abs(own) < 1e-5, 0, own).astype(np.float32)))
+    return {"row": row, "widths": widths, "words": words}

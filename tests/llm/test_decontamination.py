@@ -73,3 +73,20 @@ def test_common_subsequence_by_brute_force():
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         assert _common(a, b).sum() == best[-1][-1]
+
+
+def test_paraphrases_of_half_an_item_with_its_answer(spark, docs):
+    chance = random.Random(8)
+    items, rows = [], []
+    for i in range(120):
+        n = (6, 12, 16, 20, 33, 50, 64, 66)[i % 8]
+        item = [f"i{i}w{k}" for k in range(n)]
+        kept = set(range(n - n // 3, n))
+        kept.update(chance.sample([k for k in range(n) if k not in kept], -(-n // 2) - len(kept)))
+        words = [f"x{chance.randrange(10**6)}" for _ in range(300)]
+        at = chance.randrange(300)
+        words[at:at] = [w if k in kept else f"y{chance.randrange(10**6)}" for k, w in enumerate(item)]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(words)))
+    found = contaminated(docs(rows), benchmark(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(120)}
