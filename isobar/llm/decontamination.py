@@ -213,7 +213,7 @@ def _confirmed(text: np.ndarray, windows: list[tuple], origin: int, words: np.nd
 
 
 def _candidates(weight: np.ndarray, row: np.ndarray, first: np.ndarray, block: dict) -> dict:
-    """(text, item) → (first word, width, cosine) of the best window of at least ``COSINE``, for some texts.
+    """(text, item) → (first word, width, cosine) of all windows of at least ``COSINE``, for some texts.
 
     ``weight`` and ``row`` of each word; ``first``: where the texts begin.
     """
@@ -251,9 +251,7 @@ def _candidates(weight: np.ndarray, row: np.ndarray, first: np.ndarray, block: d
                 total += sums[i : i + 4096]
             hopeful = some.start + np.flatnonzero((total[window[some] - low] >= least[some]).any(axis=1))
             for k, j, cosine in _cosines(hopeful, starts, ends, row, squares, gains):
-                pair = int(text[k]), int(items[j])
-                if pair not in found or cosine > found[pair][0][2]:
-                    found[pair] = [(int(starts[k]), width, cosine)]
+                found.setdefault((int(text[k]), int(items[j])), []).append((int(starts[k]), width, cosine))
     return found
 
 

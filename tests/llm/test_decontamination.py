@@ -90,3 +90,17 @@ def test_paraphrases_of_half_an_item_with_its_answer(spark, docs):
         rows.append((i, " ".join(words)))
     found = contaminated(docs(rows), benchmark(spark, items)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(120)}
+
+
+def test_every_window_of_a_document_is_looked_at(spark, docs):
+    chance = random.Random(9)
+    items, rows = [], []
+    for i in range(20):
+        item = [f"i{i}w{k}" for k in range(64)]
+        quoted, whole = item[:32], [f"y{i}n{k}" if k % 4 == 1 else w for k, w in enumerate(item)]
+        far = [[f"x{chance.randrange(10**6)}" for _ in range(600)] for _ in range(3)]
+        items.append((i, " ".join(item)))
+        rows += [(i, " ".join([*far[0], *quoted, *far[1], *whole, *far[2]])), (100 + i, " ".join([*far[0], *quoted, *far[1]]))]
+    found = contaminated(docs(rows), benchmark(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(20)}
+    assert all(r.common == 0.75 for r in found)
