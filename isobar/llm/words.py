@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes hashed at once, if no word is longer.
 PIECE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -31,19 +30,6 @@ SPACE_TABLE = _table(SPACES)
 #: Everything in ASCII that is neither letter nor digit, for matching across punctuation.
 PUNCTUATION_TABLE = _table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -72,6 +58,32 @@ def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         low = min(high, n)
 
 
+#: A value for each byte and an odd factor for each place in a word: pseudo-random, so that no word is another's
+#: by the rule that made them, as in a polynomial modulo 2**64, where words of repeating structure collide.
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FOLDED = _CODES[_LOWER]
+_FACTORS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def _factors(place: np.ndarray) -> np.ndarray:
+    factors = _FACTORS[place & 0xFFFF]
+    if len(place) > 1 << 16 and place.max() >= 1 << 16:
+        factors *= np.where(place < 1 << 16, np.uint64(1), _FACTORS[(place >> 16) ^ 0xAAAA])
+    return factors
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hashes of the given runs of bytes, which are not empty and do not overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    coded = (_FOLDED if fold else _CODES)[data[place + np.repeat(starts, sizes)]]
+    coded *= _factors(place)
+    return mix(np.add.reduceat(coded, first) + sizes.astype(np.uint64))
+
+
 def _piece(
     data: np.ndarray, space: np.ndarray, first: np.ndarray, fold: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +93,7 @@ def _piece(
     start[1:] &= space[:-1] | first[1:]
     end[:-1] &= space[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    coded = (_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)
-    np.cumsum(coded * power[: len(data)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts])
+    return starts, ends, hash_runs(data, starts, ends, fold)
 
 
 def spans(
