@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
+from isobar.llm import audit, decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
 from isobar.llm.ship import ship
 
 
@@ -73,6 +73,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_toxicity": op1_compression_toxicity,
@@ -85,8 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_maxent": op9_maxent,
         "op10_spotsigs": op10_spotsigs,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": sql.MIX, "op5_warc": sql.ARCHIVE, "op8_minhash": sql.NEAR_DUPLICATES}
+    return {"op2_pareto_mix": sql.MIX, "op5_warc": sql.ARCHIVE, "op8_minhash": sql.NEAR_DUPLICATES, "op13_filter_audit": sql.AUDIT}

@@ -88,3 +88,47 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
+
+#: op13: every order of the five filters, applied to all documents one after another.
+AUDIT = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t
+), f AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), s AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS own, substr(filter_order, 1, step::INT - 1) AS before
+  FROM o, range(1, 6) r(step)
+), r AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS fails_own,
+    len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND before <> '' AND fails <> '' AS gone
+  FROM c, s
+), a AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_own), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND fails_own), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND fails_own), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND fails_own), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_own), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a
+"""
