@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import audit, decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
+from isobar.llm import alignment, audit, decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
 from isobar.llm.ship import ship
 
 
@@ -73,6 +73,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two public tokenizers over all documents."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_spec("byte_bpe_50k.json"), model)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from all documents, in every order."""
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_maxent": op9_maxent,
         "op10_spotsigs": op10_spotsigs,
+        "op11_fragment_alignment": op11_fragment_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
 
