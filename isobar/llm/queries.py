@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import alignment, audit, decontamination, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
+from isobar.llm import alignment, audit, decontamination, languages, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
 from isobar.llm.ship import ship
 
 
@@ -80,6 +80,11 @@ def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_spec("byte_bpe_50k.json"), model)
 
 
+def op12_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return languages.languages(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from all documents, in every order."""
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_maxent": op9_maxent,
         "op10_spotsigs": op10_spotsigs,
         "op11_fragment_alignment": op11_fragment_alignment,
+        "op12_crf_languages": op12_crf_languages,
         "op13_filter_audit": op13_filter_audit,
     }
 
