@@ -6,8 +6,8 @@ D come from its own text. E is an existential self-join: a left-semi join on has
 smaller doc_id. The rows it marks and the other failures are put together by union, and counted
 by part and combination of bits: 32 numbers a part, from which all orders follow.
 
-Only rows whose hash occurs more than once carry their texts to that join. The other side
-has each such text once, with its least doc_id, and once more for every ``HOT`` rows that share
+Only rows whose hash occurs more than once carry their texts to that join, and those that share a bit with such a
+hash in a broadcast bitmap of fixed size. The other side has each such text once, with its least doc_id, and once more for every ``HOT`` rows that share
 it: its rows are dealt over that many keys.
 """
 
@@ -26,6 +26,8 @@ LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 100, 80, 10
 STRAY = r"[#$%&*|]"
 #: Rows of one text that share a task.
 HOT = 20_000
+#: Bitmaps of 4 KB, which are all that is broadcast.
+BITMAPS, _BITS = 2048, 32768
 
 _E = 1 << FILTERS.index("E")
 _ORDERS = list(permutations(range(len(FILTERS))))
@@ -54,6 +56,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("hash"))
 
 
+def _place(hashed: Column) -> tuple[Column, Column]:
+    """The bitmap and the bit in it that a hash has."""
+    place = F.pmod(F.xxhash64(hashed), F.lit(BITMAPS * _BITS))
+    return F.floor(place / _BITS), place % _BITS
+
+
+def _might_be_in(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The ``rows`` whose hash is among ``hashes``, and few others; no row is moved for it."""
+    bitmap, bit = _place(F.col("hash"))
+    bitmaps = hashes.groupBy(bitmap.alias("bitmap")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    met = rows.withColumn("bitmap", bitmap).join(F.broadcast(bitmaps), "bitmap")
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    return met.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("long")) != 0).select(rows.columns)
+
+
 def repeated(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """(doc_id, part, hash) of each row of ``docs`` whose text a row of a smaller doc_id has.
 
@@ -61,7 +78,7 @@ def repeated(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """
     shared = hashes.groupBy("hash").agg(F.count("*").alias("rows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
     shared = settle(shared.where("a < z").select("hash", F.ceil(F.col("rows") / HOT).cast("int").alias("salts")), "shared")
-    held = _texts(docs).join(shared, "hash").where("doc_id IS NOT NULL")
+    held = _might_be_in(_texts(docs).where("doc_id IS NOT NULL"), shared).join(shared, "hash")
     least = (
         held.groupBy("hash", "salts", "text").agg(F.min("doc_id").alias("least"))
         .select("hash", "text", "least", F.explode(F.sequence(F.lit(1), "salts")).alias("salt"))
