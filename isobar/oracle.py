@@ -257,6 +257,25 @@ with old as (select time, city_id, temperature_2m as t, precipitation as p from
 """
 
 
+LOADS = f"""
+select city_id, cast(time as date) as day, event_id // 1024 as block, date_trunc('week', time) as week,
+       case when date_trunc('week', time) < date '2024-01-15' then 0
+            when date_trunc('week', time) < date '2024-01-22' then 1 else 2 end as load
+from ({RAW})
+"""
+
+
+def ledger(good: str) -> str:
+    """What three loads bring, if the documents of some cities are good."""
+    return f"""
+select cast(load as bigint) as load, count(distinct (city_id, week, block)) as documents,
+       count(distinct (city_id, week, block)) filter (where not ({good})) as refused,
+       count(*) filter (where {good}) as hourly,
+       count(distinct (city_id, day, block)) filter (where {good}) as daily
+from ({LOADS}) group by load
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     anomaly_rows = anomalies(stg())
     return {
@@ -378,6 +397,16 @@ def oracle_sql() -> dict[str, str]:
             union all
             select *, timestamp '2024-02-02 03:04:05', '20240202_030405' from results""",
         "incremental_load": HOURLY,
+        "streamed_marts": daily(stg(), updated=False),
+        "streamed_marts_stats": city_stats(stg()),
+        "load_ledger": ledger("city_id = 'click'"),
+        "replayed_rows": HOURLY,
+        "replay_ledger": f"""
+            {ledger("city_id not in ('view', 'signup')")}
+            union all select -1, count(distinct (week, block)), 0, count(*), count(distinct (day, block))
+            from ({LOADS}) where city_id = 'view'
+            union all select -2, count(distinct (week, block)), 0, count(*), count(distinct (day, block))
+            from ({LOADS}) where city_id = 'signup'""",
         "high_water_delta": f"""
             with raw as ({RAW}), marks as (
                 select city_id, max(time) as high_water from raw

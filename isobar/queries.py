@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, datetime, timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isobar.operators import anomalies as scores
@@ -24,6 +25,7 @@ from isobar.session import scratch, settle
 from isobar.sources import cities, events, landing, payload, raw
 from isobar.sources.drifted import scan_drifted
 from isobar.streaming.incremental import load_new
+from isobar.streaming.loads import Store, load_exactly_once, replay
 
 RUN_TS = datetime(2024, 2, 1, 3, 4, 5)
 CONSTANT_CITY = "error"
@@ -459,6 +461,87 @@ def incremental_load(spark, sf_dir):
     return raw.scan_raw(spark, "hourly", root).select(*HOURLY_COLUMNS)
 
 
+def _three_landings(spark, sf_dir, path, broken=False):
+    """Land the documents of all events by week in three parts; what is yielded between runs a load."""
+    documents = settle(events.documents_from_events(_events(spark, sf_dir), broken), "documents")
+    start = F.coalesce("start_date", F.lit(date(2024, 1, 1)))
+    first, second = start < F.lit(date(2024, 1, 15)), start >= F.lit(date(2024, 1, 22))
+    for part in (first, ~first & ~second, second):
+        landing.write_landing(documents.where(part), path)
+        yield
+
+
+def _loaded(spark, sf_dir, broken=False) -> Store:
+    """All events in three loads. The second is written, and fails before it is committed; it is delivered again."""
+    path, state = scratch(spark, "landing"), scratch(spark, "state")
+    store, dimension, failed = Store(spark, scratch(spark, "loads")), _dimension(spark, sf_dir), []
+
+    def fail_once(load: int) -> None:
+        if load == 1 and not failed:
+            failed.append(load)
+            raise RuntimeError("between write and commit")
+
+    for _ in _three_landings(spark, sf_dir, path, broken):
+        for _ in range(2):
+            try:
+                load_exactly_once(store, path, state, dimension, on_written=fail_once).awaitTermination()
+                break
+            except StreamingQueryException:
+                if not failed:
+                    raise
+    return store
+
+
+def streamed_marts(spark, sf_dir):
+    """The daily mart of three loads, one of which came twice; all partials have been folded."""
+    store = _loaded(spark, sf_dir)
+    store.fold()
+    return _rounded(days.daily_from_moments(store.daily_moments()).drop("last_updated"), DAILY_DOUBLES)
+
+
+def streamed_marts_stats(spark, sf_dir):
+    """City statistics from the stored partials of the same loads."""
+    return _rounded(days.merged_city_stats(settle(_loaded(spark, sf_dir).daily_moments(), "moments")), STATS)
+
+
+def load_ledger(spark, sf_dir):
+    """What each of three loads brought, some cities' documents broken."""
+    return _loaded(spark, sf_dir, broken=True).ledger()
+
+
+def _replayed(spark, sf_dir) -> Store:
+    """All events, two cities unknown when they are loaded; replays before and after the dimension grows, and once more.
+
+    The first replay that takes anything fails before it is committed.
+    """
+    path, state = scratch(spark, "landing"), scratch(spark, "state")
+    store, dimension = Store(spark, scratch(spark, "loads")), _dimension(spark, sf_dir)
+    known = dimension.where("city_id NOT IN ('view', 'signup')")
+    for _ in _three_landings(spark, sf_dir, path):
+        load_exactly_once(store, path, state, known).awaitTermination()
+    replay(store, known)
+
+    def fail(load: int) -> None:
+        raise RuntimeError("between write and commit")
+
+    try:
+        replay(store, dimension, on_written=fail)
+    except RuntimeError:
+        pass
+    replay(store, dimension.where("city_id <> 'signup'"))
+    replay(store, dimension)
+    replay(store, dimension)
+    return store
+
+
+def replayed_rows(spark, sf_dir):
+    return _replayed(spark, sf_dir).rows("hourly").select(*HOURLY_COLUMNS)
+
+
+def replay_ledger(spark, sf_dir):
+    return _replayed(spark, sf_dir).ledger()
+
+
 def high_water_delta(spark, sf_dir):
     """Rows beyond what a first load, ending at another time per city, has taken."""
     rows = _raw(spark, sf_dir)
@@ -569,6 +652,11 @@ QUERIES = [
     legacy_marts,
     dq_results,
     incremental_load,
+    streamed_marts,
+    streamed_marts_stats,
+    load_ledger,
+    replayed_rows,
+    replay_ledger,
     high_water_delta,
     high_water_bounded,
     latest_batch,

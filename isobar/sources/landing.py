@@ -54,6 +54,48 @@ def stream_landing(
     return _with_landing_time(reader.json(path))
 
 
+def _parsed(df: DataFrame) -> DataFrame:
+    """Documents read as text: parsed like ``scan_landing`` does, with their text and file."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("document", StructType([*PAYLOAD.fields, StructField(CORRUPT, StringType())]), options)
+    # Blank lines are no documents.
+    return (
+        df.withColumnRenamed("value", "document").where(F.trim("document") != "")
+        .withColumn("parsed", parsed).select("*", "parsed.*").drop("parsed")
+    )
+
+
+def _texts(reader, path: str, form: str) -> DataFrame:
+    if form not in FORMS:
+        raise ValueError(f"no such form: {form}; there are {FORMS}")
+    schema = StructType([StructField("value", StringType()), *REQUEST.fields])
+    return reader.schema(schema).text(path, wholetext=form == "documents")
+
+
+def _with_file(df: DataFrame) -> DataFrame:
+    return _with_landing_time(df).withColumn("file", F.col("_metadata.file_path"))
+
+
+def scan_documents(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
+    """``scan_landing`` with two more columns: the document's text, and its file."""
+    return _parsed(_with_file(_texts(spark.read, path, form)))
+
+
+def stream_documents(
+    spark: SparkSession, path: str, form: str = "lines", max_files: int | None = None
+) -> DataFrame:
+    """The same for files as they land."""
+    reader = spark.readStream
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _parsed(_with_file(_texts(reader, path, form)))
+
+
+def parse_again(kept: DataFrame) -> DataFrame:
+    """Kept documents (city_id, start_date, end_date, file, document, landed_at) as ``scan_documents`` gives them."""
+    return _parsed(kept)
+
+
 def requested(
     docs: DataFrame, start: str, end: str, city_ids: list[str] | None = None
 ) -> DataFrame:

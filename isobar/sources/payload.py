@@ -194,6 +194,46 @@ def all_rows(judged: DataFrame, on_failure: str = "fail") -> DataFrame:
     return rows.selectExpr("grain", *[column(n) for n in names])
 
 
+def rows_and_refusals(judged: DataFrame, on_failure: str = "quarantine", marks: Column | None = None) -> DataFrame:
+    """Rows of both grains and refused documents, told apart by ``kind``, from one parse of each document.
+
+    ``judged`` has the documents' text and file, which a refused document keeps with its reason. Like
+    ``all_rows`` this is one generator, so everything a document gives is written by one job. With ``marks``
+    a document that gives rows also gives its mark, as ``taken``, in the place of its text.
+    """
+    reason = F.coalesce("reject_reason", "failure_reason")
+
+    def tagged(kind: str, **sides: Column) -> Column:
+        empty = {g: F.lit(None).cast(READINGS[g]) for g in GRAINS} | {n: F.lit(None).cast("string") for n in ("reason", "file", "document")}
+        return F.struct(F.lit(kind).alias("kind"), *[v.alias(n) for n, v in (empty | sides).items()])
+
+    def readings(grain: str) -> Column:
+        return F.transform(_zipped(grain), lambda r: tagged(grain, **{grain: r}))
+
+    taken = [] if marks is None else [F.array(tagged("taken", document=marks))]
+    both = F.concat(*[readings(g) for g in GRAINS], *taken)
+    refusal = F.array(tagged("refused", reason=reason, file=F.col("file"), document=F.col("document")))
+    given = _usable(both, on_failure)
+    rows = judged.select(
+        *METADATA.fieldNames(), "start_date", "end_date", "landed_at",
+        F.inline(F.when(reason.isNotNull() & _refusable(on_failure), refusal).otherwise(given)),
+    )
+    names = list(dict.fromkeys(HOURLY.fieldNames() + DAILY.fieldNames()))
+
+    def column(name: str) -> str:
+        if name in METADATA.fieldNames():
+            return name
+        sides = [f"{g}.{name}" for g in GRAINS if name in READINGS[g].fieldNames()]
+        return f"coalesce({', '.join(sides)}) as {name}"
+
+    return rows.selectExpr("kind", *[column(n) for n in names], "start_date", "end_date", "landed_at", "reason", "file", "document")
+
+
+def _refusable(on_failure: str) -> Column:
+    """Documents that are refused and not an error of the run."""
+    return F.lit(True) if on_failure == "quarantine" else F.col("failure_reason").isNull()
+
+
 def within(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of the requested days, both ends included. A row without a time is
     kept: the not-null check is to find it."""
