@@ -31,3 +31,13 @@ def utc_wall_clock(instant: Column) -> Column:
     """A zoned instant as zone-less UTC wall clock, whatever the session zone is."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+
+
+def micros(time: Column) -> Column:
+    """A zone-less timestamp as microseconds since 1970."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time)
+
+
+def from_micros(value: Column) -> Column:
+    """The zone-less timestamp of so many microseconds since 1970."""
+    return F.timestamp_add("MICROSECOND", value, F.lit("1970-01-01").cast("timestamp_ntz"))

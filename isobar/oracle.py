@@ -257,6 +257,13 @@ with old as (select time, city_id, temperature_2m as t, precipitation as p from
 """
 
 
+#: rows of the middle without one city set the watermark that this city's rows meet; the first days come last
+TAKEN = f"""
+time >= date '2024-01-08' and (city_id <> 'view' or time >= date '2024-01-21' or time > (
+    select date_trunc('milliseconds', max(time)) - interval '10' day from ({RAW})
+    where city_id <> 'view' and time < date '2024-01-21'))
+"""
+
 LOADS = f"""
 select city_id, cast(time as date) as day, event_id // 1024 as block, date_trunc('week', time) as week,
        case when date_trunc('week', time) < date '2024-01-15' then 0
@@ -400,6 +407,14 @@ def oracle_sql() -> dict[str, str]:
         "streamed_marts": daily(stg(), updated=False),
         "streamed_marts_stats": city_stats(stg()),
         "load_ledger": ledger("city_id = 'click'"),
+        "streamed_city_state": f"""
+            with stg as ({stg(CONSTANT_RAW)}), marks as (
+                select city_id, count(*) as rows, max(time) as high_water from stg group by city_id)
+            select city_id, rows, high_water, round(avg_temp, 6) as avg_temp, round(stddev_temp, 6) as stddev_temp,
+                   round(avg_precip, 6) as avg_precip, round(stddev_precip, 6) as stddev_precip
+            from ({STATS}) join marks using (city_id)""",
+        "streamed_unique": f"{HOURLY} where {TAKEN}",
+        "late_rows": f"{HOURLY} where not ({TAKEN})",
         "replayed_rows": HOURLY,
         "replay_ledger": f"""
             {ledger("city_id not in ('view', 'signup')")}

@@ -24,8 +24,10 @@ from isobar.schema import DAILY, HOURLY, conform
 from isobar.session import scratch, settle
 from isobar.sources import cities, events, landing, payload, raw
 from isobar.sources.drifted import scan_drifted
+from isobar.streaming.city_state import city_state, keep_city_state
 from isobar.streaming.incremental import load_new
 from isobar.streaming.loads import Store, load_exactly_once, replay
+from isobar.streaming.unique import keep_unique, too_late, unique_rows
 
 RUN_TS = datetime(2024, 2, 1, 3, 4, 5)
 CONSTANT_CITY = "error"
@@ -509,6 +511,62 @@ def load_ledger(spark, sf_dir):
     return _loaded(spark, sf_dir, broken=True).ledger()
 
 
+def _late_files(spark, sf_dir, path):
+    """Write rows as files of hourly rows, the middle of the time first, then the first and last weeks; yield after each."""
+    rows, day = conform(_constant_raw(spark, sf_dir), HOURLY), F.to_date("time")
+    middle = F.coalesce(day.between(F.lit(date(2024, 1, 8)), F.lit(date(2024, 1, 20))), F.lit(False))
+    early = F.coalesce(day < F.lit(date(2024, 1, 8)), F.lit(False))
+    for part in (middle, early, ~middle & ~early):
+        rows.where(part).write.mode("append").parquet(path)
+        yield
+
+
+def _constant_raw(spark, sf_dir):
+    return _raw(spark, sf_dir, CONSTANT_CITY)
+
+
+def streamed_city_state(spark, sf_dir):
+    """Statistics and high-water mark per city kept as state over three runs, the second of which brings late rows."""
+    path, root, state = (scratch(spark, n) for n in ("files", "states", "state"))
+    for _ in _late_files(spark, sf_dir, path):
+        rows = spark.readStream.schema(HOURLY).parquet(path)
+        keep_city_state(staging(rows), root, state).awaitTermination()
+    return _rounded(city_state(spark, root), STATS)
+
+
+LATENESS = "10 days"
+
+
+def _arrived(spark, sf_dir):
+    """Folders of three arrivals, and where their unique rows are kept.
+
+    First the middle of the time but for one city; then the later days, that city's rows, and copies of
+    some days with other values; last the early days, and copies again.
+    """
+    path, root, state = (scratch(spark, n) for n in ("files", "unique", "state"))
+    rows, day = conform(_raw(spark, sf_dir), HOURLY), F.to_date("time")
+    middle, view = day.between(F.lit(date(2024, 1, 8)), F.lit(date(2024, 1, 20))), F.col("city_id") == "view"
+    copies = rows.withColumn("temperature_2m", F.col("temperature_2m") + 1)
+    parts = [
+        rows.where(middle & ~view),
+        rows.where((day > F.lit(date(2024, 1, 20))) | middle & view).unionByName(copies.where(day == F.lit(date(2024, 1, 18))).where(~view)),
+        rows.where(day < F.lit(date(2024, 1, 8))).unionByName(copies.where(day.isin(date(2024, 1, 19), date(2024, 1, 25)))),
+    ]
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(HOURLY).parquet(path)
+        keep_unique(stream, root, state, LATENESS).awaitTermination()
+    return spark.read.schema(HOURLY).parquet(path), unique_rows(spark, root, HOURLY)
+
+
+def streamed_unique(spark, sf_dir):
+    return _arrived(spark, sf_dir)[1].select(*HOURLY_COLUMNS)
+
+
+def late_rows(spark, sf_dir):
+    return too_late(*_arrived(spark, sf_dir), LATENESS).select(*HOURLY_COLUMNS)
+
+
 def _replayed(spark, sf_dir) -> Store:
     """All events, two cities unknown when they are loaded; replays before and after the dimension grows, and once more.
 
@@ -655,6 +713,9 @@ QUERIES = [
     streamed_marts,
     streamed_marts_stats,
     load_ledger,
+    streamed_city_state,
+    streamed_unique,
+    late_rows,
     replayed_rows,
     replay_ledger,
     high_water_delta,
