@@ -257,6 +257,28 @@ with old as (select time, city_id, temperature_2m as t, precipitation as p from
 """
 
 
+HOURS = f"""
+hours as (select distinct city_id, date_trunc('hour', time) as hour from ({RAW}) where time is not null),
+steps as (
+    select city_id, hour, before, date_diff('hour', before, hour) as away
+    from (select *, lag(hour) over (partition by city_id order by hour) as before from hours))
+"""
+
+STORED = f"""
+with old as (select time, city_id, temperature_2m as t, precipitation as p from ({RAW})
+             where cast(time as date) <= date '2024-01-25'),
+     new as (select time, city_id, precipitation as p,
+                    case when cast(time as date) in (date '2024-01-09', date '2024-01-10', date '2024-01-21')
+                              and relative_humidity_2m is null then temperature_2m + 1 else temperature_2m end as t
+             from ({RAW}) where cast(time as date) >= date '2024-01-05'),
+     met as (
+         select coalesce(o.city_id, n.city_id) as city_id, coalesce(o.time, n.time) as time,
+                case when o.time is null then 'added' when n.time is null then 'removed'
+                     when o.t is distinct from n.t or o.p is distinct from n.p then 'changed'
+                end as status
+         from old o full outer join new n on o.city_id = n.city_id and o.time = n.time)
+"""
+
 #: rows of the middle without one city set the watermark that this city's rows meet; the first days come last
 TAKEN = f"""
 time >= date '2024-01-08' and (city_id <> 'view' or time >= date '2024-01-21' or time > (
@@ -404,6 +426,41 @@ def oracle_sql() -> dict[str, str]:
             union all
             select *, timestamp '2024-02-02 03:04:05', '20240202_030405' from results""",
         "incremental_load": HOURLY,
+        "hour_coverage": f"""
+            with {HOURS}
+            select city_id, min(hour) as first_hour, max(hour) as last_hour, count(*) as present_hours,
+                   cast(date_diff('hour', min(hour), max(hour)) + 1 - count(*) as bigint) as missing_hours,
+                   count(*) filter (where away > 1) as gaps, coalesce(max(away - 1), 0) as longest_gap_hours
+            from steps group by city_id""",
+        "missing_intervals": f"""
+            with {HOURS}
+            select city_id, before + interval '1' hour as first_missing, hour - interval '1' hour as last_missing,
+                   away - 1 as missing_hours
+            from steps where away > 1""",
+        "distinct_sketch": f"""
+            select city_id, count(distinct time) as times, count(distinct pressure_msl) as pressures,
+                   true as times_near, true as pressures_near
+            from ({stg()}) group by city_id""",
+        "quantile_sketch": f"""
+            select city_id, count(temperature_2m) as n, true as q0_near, true as q1_near, true as q2_near
+            from ({stg()}) group by city_id""",
+        "range_from_data": f"""
+            select city_id, count(temperature_2m) as checked, true as failures_near from ({stg()}) group by city_id""",
+        "snapshot_diff_stored": STORED + "select city_id, time, status from met where status is not null",
+        "snapshot_changed_days": STORED + "select distinct city_id, cast(time as date) as day from met where status is not null",
+        "landed_extras": """
+            select ts as time, event_type as city_id, cast(props ->> '$.k' as bigint) as k, user_id, cast(null as double) as absent
+            from events""",
+        "extra_schema": """
+            select 'props' as variable, 'OBJECT<k: BIGINT>' as type, count(*) as readings from events
+            union all select 'user_id', 'BIGINT', count(*) from events""",
+        "duplicate_keys_by_batch": f"""
+            select time, city_id, cast(count(*) as bigint) as copies from ({OVERLAPPING_RAW})
+            group by time, city_id having count(*) > 1""",
+        "new_duplicates": f"""
+            select case when extract(day from time) % 2 = 0 then 'rerun' else 'odd' end as batch, count(*) as keys
+            from (select time, city_id from ({OVERLAPPING_RAW}) group by time, city_id having count(*) > 1)
+            group by batch""",
         "streamed_marts": daily(stg(), updated=False),
         "streamed_marts_stats": city_stats(stg()),
         "load_ledger": ledger("city_id = 'click'"),

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isobar.operators import anomalies as scores
 from isobar.operators import daily as days
-from isobar.operators import profile, quality, snapshots
+from isobar.operators import gaps, profile, quality, sketches, snapshots
 from isobar.operators.staging import staging
 from isobar.plans import refresh as layers_plan
-from isobar.plans import tables
+from isobar.plans import keys, tables
 from isobar.plans.ingest import ingest
 from isobar.schema import DAILY, HOURLY, conform
 from isobar.session import scratch, settle
-from isobar.sources import cities, events, landing, payload, raw
+from isobar.sources import cities, events, landing, payload, raw, variables
 from isobar.sources.drifted import scan_drifted
 from isobar.streaming.city_state import city_state, keep_city_state
 from isobar.streaming.incremental import load_new
@@ -227,6 +227,68 @@ def coverage(spark, sf_dir):
     return quality.coverage(_stg(spark, sf_dir))
 
 
+def hour_coverage(spark, sf_dir):
+    return gaps.coverage_of_hours(_stg(spark, sf_dir))
+
+
+def missing_intervals(spark, sf_dir):
+    return gaps.missing_intervals(_stg(spark, sf_dir))
+
+
+def _sketches(spark, sf_dir):
+    made = sketches.daily_sketches(_stg(spark, sf_dir), ["time", "pressure_msl"], ["temperature_2m", "precipitation"])
+    return settle(made, "sketches")
+
+
+def distinct_sketch(spark, sf_dir):
+    """Distinct times and pressures per city, and whether the estimate from daily sketches is within its error."""
+    exact = _stg(spark, sf_dir).groupBy("city_id").agg(
+        F.count_distinct("time").alias("times"), F.count_distinct("pressure_msl").alias("pressures")
+    )
+    daily, error = _sketches(spark, sf_dir), sketches.distinct_error()
+    for column, name in (("time", "times"), ("pressure_msl", "pressures")):
+        estimate = sketches.distinct_values(daily, column, "city_id")
+        near = F.abs(F.col("distinct_values") - F.col(name)) <= F.greatest(F.lit(1.0), error * F.col(name))
+        exact = exact.join(estimate, "city_id").withColumn(f"{name}_near", near).drop("distinct_values")
+    return exact
+
+
+def quantile_sketch(spark, sf_dir):
+    """Quartiles per city from daily sketches: how many values, and whether each is at its rank within the error."""
+    found = settle(sketches.quantiles(_sketches(spark, sf_dir), "temperature_2m", [0.25, 0.5, 0.75], "city_id"), "quartiles")
+    rows, error = _stg(spark, sf_dir).join(found, "city_id"), sketches.RANK_ERROR
+
+    def near(i: int, rank: float):
+        below, upto = (F.count_if(test) / F.count(F.lit(1)) for test in (F.col("temperature_2m") < F.col(f"q{i}"), F.col("temperature_2m") <= F.col(f"q{i}")))
+        return ((below <= rank + error) & (upto >= rank - error)).alias(f"q{i}_near")
+
+    return rows.groupBy("city_id").agg(F.max("n").alias("n"), *[near(i, r) for i, r in enumerate((0.25, 0.5, 0.75))])
+
+
+def range_from_data(spark, sf_dir):
+    """Per city, values beyond limits from its quartiles: whether as many fail as fail limits from exact ranks near by."""
+    daily, stg = _sketches(spark, sf_dir), _stg(spark, sf_dir)
+    bounds = settle(sketches.limits(daily, "temperature_2m", 1.5, "city_id"), "limits")
+    failing = sketches.outside(stg, bounds, "temperature_2m")
+    error = sketches.RANK_ERROR
+    low, high = "percentile(temperature_2m, {})", "percentile(temperature_2m, {})"
+    exact = stg.groupBy("city_id").agg(
+        F.expr(low.format(0.25 - error)).alias("a"), F.expr(low.format(0.25 + error)).alias("b"),
+        F.expr(high.format(0.75 - error)).alias("c"), F.expr(high.format(0.75 + error)).alias("d"),
+    ).select(
+        "city_id", (F.col("b") - 1.5 * (F.col("c") - F.col("b"))).alias("tight_low"), (F.col("c") + 1.5 * (F.col("c") - F.col("b"))).alias("tight_high"),
+        (F.col("a") - 1.5 * (F.col("d") - F.col("a"))).alias("wide_low"), (F.col("d") + 1.5 * (F.col("d") - F.col("a"))).alias("wide_high"),
+    )
+    exact = settle(exact, "exact-limits")
+    t = F.col("temperature_2m")
+    most = stg.join(exact, "city_id").groupBy("city_id").agg(
+        F.count_if(~t.between(F.col("tight_low"), F.col("tight_high"))).alias("most"),
+        F.count_if(~t.between(F.col("wide_low"), F.col("wide_high"))).alias("least"),
+    )
+    near = F.col("failures").between(F.col("least"), F.col("most"))
+    return failing.join(most, "city_id").select("city_id", (F.col("failures") + F.col("passed")).alias("checked"), near.alias("failures_near"))
+
+
 # --- requests, payloads, landing ---------------------------------------------
 
 def _dimension(spark, sf_dir):
@@ -657,6 +719,68 @@ def snapshot_diff_copies(spark, sf_dir):
     return snapshots.snapshot_diff(old.unionByName(new), is_old, is_new, ["temperature_2m", "precipitation"])
 
 
+def _stored_snapshots(spark, sf_dir) -> tuple[str, str]:
+    """The two snapshots of ``snapshot_diff``, stored; corrections in three days only."""
+    rows, day = _raw(spark, sf_dir), F.to_date("time")
+    corrected = day.isin(date(2024, 1, 9), date(2024, 1, 10), date(2024, 1, 21)) & F.col("relative_humidity_2m").isNull()
+    new = rows.where(day >= F.lit(date(2024, 1, 5))).withColumn(
+        "temperature_2m", F.when(corrected, F.col("temperature_2m") + 1).otherwise(F.col("temperature_2m"))
+    )
+    paths = scratch(spark, "old"), scratch(spark, "new")
+    for path, part in zip(paths, (rows.where(day <= F.lit(date(2024, 1, 25))), new)):
+        snapshots.store_snapshot(part, path, ["temperature_2m", "precipitation"])
+    return paths
+
+
+def snapshot_diff_stored(spark, sf_dir):
+    return snapshots.stored_diff(spark, *_stored_snapshots(spark, sf_dir), ["temperature_2m", "precipitation"])
+
+
+def snapshot_changed_days(spark, sf_dir):
+    return snapshots.changed_days(spark, *_stored_snapshots(spark, sf_dir))
+
+
+EXTRA = {"props": "from_json(props, 'k bigint')", "user_id": "user_id"}
+
+
+def _extras(spark, sf_dir):
+    """Documents of all events with two variables that no list names."""
+    path = scratch(spark, "landing")
+    landing.write_landing(events.documents_from_events(_events(spark, sf_dir), extra=EXTRA), path)
+    return settle(variables.extra_variables(landing.scan_documents(spark, path)), "extras")
+
+
+def landed_extras(spark, sf_dir):
+    columns = {"k": ("$.props.k", "bigint"), "user_id": ("$.user_id", "bigint"), "absent": ("$.other", "double")}
+    return variables.typed(_extras(spark, sf_dir), columns)
+
+
+def extra_schema(spark, sf_dir):
+    return variables.merged_schema(_extras(spark, sf_dir))
+
+
+def _keys_by_batch(spark, sf_dir):
+    """Overlapping rows in three batches, the second of which is checked twice; the duplicates that each found."""
+    layers, rows = _layers(spark), staging(_overlapping(spark, sf_dir))
+    rerun = F.col("batch_id") == "rerun"
+    odd = F.dayofmonth("time") % 2 == 1
+    batches = {"even": rows.where(~rerun & ~odd), "rerun": rows.where(rerun), "odd": rows.where(~rerun & odd)}
+    found = []
+    for name in ("even", "rerun", "rerun", "odd"):
+        new = settle(keys.check_batch(layers, batches[name], snapshots.KEY, name, buckets=8), "new")
+        found.append(new.withColumn("batch", F.lit(name)))
+    return layers, quality.union([found[0], found[2], found[3]])
+
+
+def duplicate_keys_by_batch(spark, sf_dir):
+    layers, _ = _keys_by_batch(spark, sf_dir)
+    return keys.known_keys(layers, snapshots.KEY).where("copies > 1")
+
+
+def new_duplicates(spark, sf_dir):
+    return _keys_by_batch(spark, sf_dir)[1].groupBy("batch").agg(F.count("*").alias("keys"))
+
+
 def snapshot_diff_counts(spark, sf_dir):
     return snapshots.diff_counts(_snapshots(spark, sf_dir))
 
@@ -685,6 +809,11 @@ QUERIES = [
     dq_range,
     layer_row_counts,
     coverage,
+    hour_coverage,
+    missing_intervals,
+    distinct_sketch,
+    quantile_sketch,
+    range_from_data,
     request_manifest,
     payload_validate,
     payload_hourly,
@@ -724,6 +853,12 @@ QUERIES = [
     snapshot_diff,
     snapshot_diff_copies,
     snapshot_diff_counts,
+    snapshot_diff_stored,
+    snapshot_changed_days,
+    landed_extras,
+    extra_schema,
+    duplicate_keys_by_batch,
+    new_duplicates,
 ]
 
 

@@ -78,25 +78,29 @@ def cities_from_events(events: DataFrame) -> DataFrame:
     return hourly_from_events(events).select(*names).distinct()
 
 
-def documents_from_events(events: DataFrame, broken: bool = False) -> DataFrame:
+def documents_from_events(
+    events: DataFrame, broken: bool = False, extra: dict[str, str] | None = None
+) -> DataFrame:
     """Payload documents of one city and week each: (request columns, document).
 
     A document holds the events of one block of ``PAYLOAD_ROWS`` event ids, so
     its arrays stay short however many events a city and week has. ``broken``
-    spoils the documents of all cities but one, each city in another way.
+    spoils the documents of all cities but one, each city in another way. ``extra`` are
+    more hourly variables, name to expression over the event.
     """
+    extra = extra or {}
     request = ["city_id", "week", "block"]
     place = ["latitude", "longitude", "timezone"]
     blocks = events.withColumn("block", F.floor(F.col("event_id") / PAYLOAD_ROWS))
     rows = (
-        hourly_from_events(blocks, keep=("block",))
+        hourly_from_events(blocks, keep=("block", *[f"{e} as {n}" for n, e in extra.items()]))
         .withColumn("day", F.to_date("time"))
         # Rows without a time go to the documents of one week.
         .withColumn("week", F.to_date(F.date_trunc("week", F.coalesce("day", F.lit("2024-01-01").cast("date")))))
         # One exchange by document serves the days as well.
         .repartition(*request)
     )
-    reading = F.struct(_iso("time").alias("time"), *MEASURES)
+    reading = F.struct(_iso("time").alias("time"), *MEASURES, *extra)
     days = rows.groupBy(*request, *place, "day").agg(
         F.array_sort(F.collect_list(reading)).alias("readings"),
         F.max("temperature_2m").alias("temperature_2m_max"),
@@ -136,7 +140,7 @@ def documents_from_events(events: DataFrame, broken: bool = False) -> DataFrame:
     hourly = F.struct(
         times.alias("time"),
         temperatures.alias("temperature_2m"),
-        *[series("hours", m).alias(m) for m in MEASURES if m != "temperature_2m"],
+        *[series("hours", m).alias(m) for m in (*MEASURES, *extra) if m != "temperature_2m"],
     )
     daily = F.struct(*[series("days", name).alias(name) for name in DAILY_SERIES])
     if broken:
