@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from isobar.llm import decontamination, minhash, mixing, token_files, toxicity
 from isobar.llm.queries import tokenizer_spec
@@ -15,39 +15,71 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance does not find toxic."""
+    """Documents that the compression distance does not find toxic.
+
+    Null and empty texts are scored as texts without any saving. Equal texts stay or go together, and repeated
+    rows stay as often as they come. An empty table stays empty; all columns are kept as they are.
+    """
     ship(spark)
     return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; of rows that share an id, one; all without an id."""
+    """Of each group of near-duplicates the document with the least id; all rows without an id.
+
+    Documents without words are near to none. Of rows that share an id one stays, that with the least hash over all its columns
+    (but maps, which have none), so reruns agree. An empty table stays empty; all columns are kept.
+    """
     ship(spark)
     found = minhash.near_duplicates(docs)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # As a struct, a row's own columns clash with none of those used here.
+    rows = docs.where("doc_id IS NOT NULL").select(_packed(docs), F.xxhash64(*hashed).alias("order"))
+    chosen = rows.join(kept, F.col("row.doc_id") == F.col("id"), "left_semi").groupBy("row.doc_id").agg(
+        F.min_by("row", "order").alias("row")
+    )
+    return chosen.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+def _packed(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay. Repeated rows stay or go together. An empty table stays empty; all
+    columns are kept as they are.
+    """
     ship(spark)
     return decontamination.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows are taken alike."""
+    """Each document as often as the mix takes it; equal rows are taken alike.
+
+    Rows that share id, source and size are taken as often as the most taken of them. Texts without words have no
+    size and come with the certain copies of their source. Null ids and sources are ids and sources like others.
+    An empty table stays empty; all columns are kept.
+    """
     ship(spark)
     copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), "copies")
-    sized = docs.withColumn("size_of_text", mixing.words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size_of_text") == F.col("n"))
-    taken = sized.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(docs.columns)
+    rows = docs.select(_packed(docs), mixing.words(F.col("text")).alias("words"))
+    same = (
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+        & (F.col("words") == F.col("size"))
+    )
+    taken = rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files of the mix, as reading them gives."""
+    """The token files of the mix, as reading them gives: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end alone. Rows go by id, null ids first, copies side by side. An empty table
+    gives no rows; other columns are ignored.
+    """
     ship(spark)
     return token_files.token_files(docs, tokenizer_spec())
 
