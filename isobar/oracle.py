@@ -180,10 +180,10 @@ def relationships_result(table: str, parent: str) -> str:
     return result(table, "relationships", "city_id", "count(*)", missing)
 
 
-def range_results() -> list[str]:
+def range_results(table: str = "staging.stg_weather", source: str = "stg") -> list[str]:
     return [
-        result("staging.stg_weather", "range", column,
-               f"count(*) filter (where {column} < {low} or {column} > {high})", "stg")
+        result(table, "range", column,
+               f"count(*) filter (where {column} < {low} or {column} > {high})", source)
         for column, low, high in (("temperature_2m", 0.5, 200.0), ("precipitation", 0.0, 20.0))
     ]
 
@@ -393,6 +393,10 @@ def oracle_sql() -> dict[str, str]:
             from ({HOURLY})""",
         "full_refresh": daily(stg(), updated=False),
         "incremental_refresh": daily(stg()),
+        "newest_refresh": anomalies(stg(f"""
+            select * from ({OVERLAPPING_RAW})
+            qualify row_number() over (partition by city_id, time
+                                       order by ingestion_timestamp desc, batch_id desc) = 1""")),
         "refresh_after_empty_batch": daily(stg()),
         "streamed_refresh": daily(stg(), updated=False),
         "manifest_ingest": ingest_stats(
@@ -472,6 +476,11 @@ def oracle_sql() -> dict[str, str]:
             from ({STATS}) join marks using (city_id)""",
         "streamed_unique": f"{HOURLY} where {TAKEN}",
         "late_rows": f"{HOURLY} where not ({TAKEN})",
+        "streamed_checks": f"with raw as ({FAULTY_RAW}) " + union([
+            *[result("raw.weather_hourly", "not_null", column, f"count(*) filter (where {column} is null)", "raw")
+              for column in NOT_NULL["raw.weather_hourly"][1]],
+            *range_results("raw.weather_hourly", "raw"),
+        ]),
         "replayed_rows": HOURLY,
         "replay_ledger": f"""
             {ledger("city_id not in ('view', 'signup')")}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from isobar.functions.lineage import batch_id_of, ingestion_timestamp
 from isobar.operators.anomalies import anomalies, city_stats
@@ -25,7 +26,7 @@ HOURLY, DAILY = "raw.weather_hourly", "raw.weather_daily"
 STAGING, STAGED_TABLE = "staging.stg_weather", "staging.weather_hourly"
 MART_DAILY, MART_ANOMALIES = "mart.weather_daily", "mart.weather_anomalies"
 RESULTS = "mart.dq_results"
-MOMENTS = "state.daily_moments"
+MOMENTS, NEWEST = "state.daily_moments", "state.newest_rows"
 OPTIONS = "isobar.options"
 
 
@@ -49,13 +50,8 @@ def _moments(layers: Layers, stg: DataFrame, days: tuple[date, ...] | None, opti
     """
     if days is None:
         return full_refresh(layers, daily_moments(stg), MOMENTS, {OPTIONS: options})
-    stored = properties(layers, MOMENTS).get(OPTIONS)
-    if stored != options:
-        raise ValueError(f"the stored days were made with {stored}, not with {options}; refresh all days")
     anew = F.col("date").isNull()
     if days != NO_DAYS:
-        if len(days) != 2 or None in days:
-            raise ValueError(f"days are a first and a last one, or NO_DAYS: {days}")
         first, last = (F.lit(day).cast("date") for day in days)
         anew = anew | F.col("date").between(first, last)
     kept = layers.table(MOMENTS).where(~anew)
@@ -63,6 +59,43 @@ def _moments(layers: Layers, stg: DataFrame, days: tuple[date, ...] | None, opti
     return full_refresh(layers, moments, MOMENTS, {OPTIONS: options})
 
 
+def _check_days(layers: Layers, days: tuple[date, ...] | None, options: str) -> None:
+    """Days can only be refreshed if all others were made with the same options."""
+    if days is None:
+        return
+    stored = properties(layers, MOMENTS).get(OPTIONS)
+    if stored != options:
+        raise ValueError(f"the stored days were made with {stored}, not with {options}; refresh all days")
+    if days != NO_DAYS and (len(days) != 2 or None in days):
+        raise ValueError(f"days are a first and a last one, or NO_DAYS: {days}")
+
+
+def _of_days(days: tuple[date, ...]) -> Column:
+    """A condition on ``time``: rows of the given days, and rows of no day. Scans get it as a range."""
+    of_none = F.col("time").isNull()
+    if days == NO_DAYS:
+        return of_none
+    first, last = days
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in (first, last + timedelta(days=1)))
+    return of_none | (F.col("time") >= start) & (F.col("time") < end)
+
+
+def _newest(layers: Layers, hourly: DataFrame, days: tuple[date, ...] | None) -> DataFrame:
+    """The newest row of each city and time, kept by day between refreshes.
+
+    With ``days`` only the rows of these days are read, compared and written anew; the folders of other days stay. A
+    refresh that breaks off in between is put right by the next one of the same days.
+    """
+    path = layers.path(NEWEST)
+    chosen = hourly if days is None else hourly.where(_of_days(days))
+    newest = latest_rows(chosen).withColumn("day", F.to_date("time"))
+    writer = newest.write.mode("overwrite").partitionBy("day")
+    # A table that is empty altogether still has its schema from the rows.
+    writer.option("partitionOverwriteMode", "static" if days is None else "dynamic").parquet(path)
+    schema = StructType([*hourly.schema.fields, StructField("day", DateType())])
+    return layers.spark.read.schema(schema).parquet(path).select(*hourly.columns)
+
+
 def refresh(
     layers: Layers,
     hourly: DataFrame,
@@ -84,18 +117,19 @@ def refresh(
     (``NO_DAYS``) have changed since the last refresh, which must have had the same
     options. The aggregates of all other days are then kept. Scores depend on the
     whole history and are always taken anew.
+
+    ``newest_only`` keeps the newest row of each city and time, by day, and refreshes those of ``days`` alone.
     """
     check_variant(variant)
-    rows = latest_rows(hourly) if newest_only else hourly
-    if newest_only:
-        rows = settle(rows, "newest")
+    options = f"variant={variant} fill={fill} newest_only={newest_only}"
+    _check_days(layers, days, options)
+    rows = _newest(layers, hourly, days) if newest_only else hourly
     stg = staging(rows, fill)
     if variant == "bootstrap":
         stg = full_refresh(layers, stg, STAGED_TABLE)
     else:
         stg.createOrReplaceTempView(f"{layers.prefix}stg_weather")
 
-    options = f"variant={variant} fill={fill} newest_only={newest_only}"
     moments = _moments(layers, stg, days, options)
     mart = daily_from_moments(moments, variant).sortWithinPartitions("date", "city_id")
     stats = settle(merged_city_stats(moments), "city-stats")

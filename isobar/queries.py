@@ -27,6 +27,7 @@ from isobar.sources.drifted import scan_drifted
 from isobar.streaming.city_state import city_state, keep_city_state
 from isobar.streaming.incremental import load_new
 from isobar.streaming.loads import Store, load_exactly_once, replay
+from isobar.streaming.quality import Recorder, recorded_once, watched
 from isobar.streaming.unique import keep_unique, too_late, unique_rows
 
 RUN_TS = datetime(2024, 2, 1, 3, 4, 5)
@@ -446,6 +447,16 @@ def incremental_refresh(spark, sf_dir):
     return _rounded(refreshed[layers_plan.MART_DAILY], DAILY_DOUBLES)
 
 
+def newest_refresh(spark, sf_dir):
+    """Refresh all rows, then with a later batch of two days; only the newest rows of those days are looked for."""
+    layers, rows = _layers(spark), _raw(spark, sf_dir)
+    layers_plan.refresh(layers, rows, _daily_grain(rows), newest_only=True)
+    both = _overlapping(spark, sf_dir)
+    changed = layers_plan.days_of(both.where("batch_id = 'rerun'"))
+    refreshed = layers_plan.refresh(layers, both, _daily_grain(both), newest_only=True, days=changed)
+    return _rounded(refreshed[layers_plan.MART_ANOMALIES], SCORES)
+
+
 def refresh_after_empty_batch(spark, sf_dir):
     """Refresh, then again after a batch without rows: the mart stays as it is."""
     layers, rows = _layers(spark), _raw(spark, sf_dir)
@@ -629,6 +640,27 @@ def late_rows(spark, sf_dir):
     return too_late(*_arrived(spark, sf_dir), LATENESS).select(*HOURLY_COLUMNS)
 
 
+def streamed_checks(spark, sf_dir):
+    """Checks counted while faulty rows pass a stream in three runs, summed over the recorded batches."""
+    layers, rows = _layers(spark), _faulty_raw(spark, sf_dir)
+    path, root, state = (scratch(spark, n) for n in ("files", "raw", "state"))
+    checks = quality.not_null(quality.NOT_NULL[layers_plan.HOURLY]) + quality.value_range(LIMITS)
+    recorder = Recorder(layers)
+    spark.streams.addListener(recorder)
+    try:
+        for i in range(3):
+            conform(rows.where(F.pmod(F.xxhash64("wind_speed_10m", "cloud_cover"), F.lit(3)) == i), HOURLY).write.mode("append").parquet(path)
+            passing = watched(spark.readStream.schema(HOURLY).parquet(path), layers_plan.HOURLY, checks)
+            query = passing.writeStream.format("parquet").option("path", root).option("checkpointLocation", state).trigger(availableNow=True).start()
+            query.awaitTermination()
+            recorder.wait(query)
+    finally:
+        spark.streams.removeListener(recorder)
+    if recorder.errors:
+        raise recorder.errors[0]
+    return recorded_once(layers).groupBy("table_name", "check_name", "column_name").agg(F.sum("failures").alias("failures"))
+
+
 def _replayed(spark, sf_dir) -> Store:
     """All events, two cities unknown when they are loaded; replays before and after the dimension grows, and once more.
 
@@ -830,6 +862,7 @@ QUERIES = [
     full_refresh,
     full_refresh_anomalies,
     incremental_refresh,
+    newest_refresh,
     refresh_after_empty_batch,
     streamed_refresh,
     manifest_ingest,
@@ -845,6 +878,7 @@ QUERIES = [
     streamed_city_state,
     streamed_unique,
     late_rows,
+    streamed_checks,
     replayed_rows,
     replay_ledger,
     high_water_delta,

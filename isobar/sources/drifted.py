@@ -32,6 +32,7 @@ READ_AS = {
     "date32[day]": "date", "timestamp[ms]": "timestamp_ntz", "timestamp[us]": "timestamp_ntz",
 }
 NANOS = "timestamp[ns"
+_NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -109,10 +110,9 @@ def scan_drifted(
     """All rows of the files under ``directory`` that match ``glob``, as ``schema``.
 
     Variables beyond the schema are named in the log; with ``others`` they are kept as
-    text in a map column of that name. Nanoseconds are read as integers, which is a
-    setting of the session. There is one scan for each different footer.
+    text in a map column of that name. Nanoseconds are read as integers, by a setting of
+    the session that is put back. There is one scan for each different footer.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path")
         # A fixed number: by size, these few names would be coalesced into one task.
@@ -121,7 +121,13 @@ def scan_drifted(
     )
     # The driver lists these files for the scans anyway.
     groups = files.groupBy("shape").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("shape").collect()
-    scans = [_scan_group(spark, json.loads(g["shape"]), list(g["paths"]), schema, others) for g in groups]
+    # A scan keeps the setting under which it was made; other reads of the session are left alone.
+    before = spark.conf.get(_NANOS_AS_LONG, None)
+    spark.conf.set(_NANOS_AS_LONG, "true")
+    try:
+        scans = [_scan_group(spark, json.loads(g["shape"]), list(g["paths"]), schema, others) for g in groups]
+    finally:
+        spark.conf.unset(_NANOS_AS_LONG) if before is None else spark.conf.set(_NANOS_AS_LONG, before)
     if not scans:
         extra = [StructField("others", _OTHERS)] if others else []
         return spark.createDataFrame([], StructType(schema.fields + extra))

@@ -16,6 +16,7 @@ from isobar.schema import HOURLY
 from isobar.sources import variables
 from isobar.sources.landing import scan_documents
 from isobar.streaming.city_state import city_state, keep_city_state
+from isobar.streaming.quality import Recorder, recorded_once, watched
 from isobar.streaming.unique import keep_unique, too_late, unique_rows
 
 START = datetime(2026, 2, 1)
@@ -175,3 +176,30 @@ def test_known_keys_are_not_moved(spark, layers):
         new = keys.check_batch(layers, rows_of(spark, [("paris", 1, 1.0)]), snapshots.KEY, name, buckets=7)
     assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in keys.known_keys(layers, snapshots.KEY)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_of_a_stream_are_recorded_by_batch(spark, layers, tmp_path):
+    path, root, state = (f"{tmp_path}/{n}" for n in ("files", "raw", "state"))
+    checks = quality.not_null(["time", "city_id"]) + quality.value_range({"temperature_2m": (0.0, 10.0)})
+    recorder = Recorder(layers)
+    spark.streams.addListener(recorder)
+    try:
+        for cells in ([("paris", 1, 1.0), (None, 2, 11.0)], [("paris", None, -1.0), ("paris", None, None)], []):
+            if cells:
+                rows_of(spark, cells).write.mode("append").parquet(path)
+            passing = watched(spark.readStream.schema(HOURLY).parquet(path), "raw.weather_hourly", checks)
+            query = passing.writeStream.format("parquet").option("path", root).option("checkpointLocation", state).trigger(availableNow=True).start()
+            query.awaitTermination()
+            recorder.wait(query)
+    finally:
+        spark.streams.removeListener(recorder)
+    assert not recorder.errors and spark.read.parquet(root).count() == 4
+    batches = {}
+    for r in layers.table("mart.dq_results").collect():
+        batches.setdefault(r.run_id.rsplit("_", 1)[1], {})[r.check_name, r.column_name] = r.failures
+    keys_ = [("not_null", "time"), ("not_null", "city_id"), ("range", "temperature_2m")]
+    assert batches == {"0": dict(zip(keys_, (0, 1, 1))), "1": dict(zip(keys_, (2, 0, 1)))}
+    # The same progress heard again counts once.
+    again = layers.table("mart.dq_results").where("run_id LIKE '%_1'").collect()
+    recorder._append([tuple(r) for r in again])
+    assert recorded_once(layers).count() == 6 and layers.table("mart.dq_results").count() == 9

@@ -8,11 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from isobar import session
+from isobar.operators.snapshots import latest_rows
 from isobar.operators.staging import staging
 from isobar.plans import refresh as plan
 from isobar.plans import tables
 from isobar.plans.ingest import RefusedDocuments, ingest
-from isobar.schema import DAILY, DAILY_VARIABLES, HOURLY_VARIABLES, LEGACY
+from isobar.schema import DAILY, DAILY_VARIABLES, HOURLY, HOURLY_VARIABLES, LEGACY
 from isobar.sources.cities import (
     cities,
     local_request_manifest,
@@ -213,6 +214,32 @@ def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     assert not os.listdir(f"{tmp_path}/isobar")
 
 
+def test_newest_rows_are_refreshed_by_day(spark, layers, tmp_path):
+    def rows(batch, values):
+        return hourly(spark, [
+            {"city_id": "paris", "time": datetime.fromisoformat(t), "temperature_2m": v, "ingestion_timestamp": datetime(2026, 3, batch)}
+            for t, v in values.items()
+        ])
+
+    raw = rows(1, {"2026-02-07 01:00": 1.0, "2026-02-08 01:00": 2.0, "2026-02-08 02:00": 3.0, "2026-02-09 01:00": 4.0})
+    later = rows(2, {"2026-02-08 01:00": 5.0, "2026-02-09 23:59": 6.0})
+    raw.write.parquet(f"{tmp_path}/raw")
+    plan.refresh(layers, spark.read.schema(HOURLY).parquet(f"{tmp_path}/raw"), raw.limit(0), newest_only=True)
+    later.write.mode("append").parquet(f"{tmp_path}/raw")
+    both = spark.read.schema(HOURLY).parquet(f"{tmp_path}/raw")
+    days = plan.days_of(later)
+    built = plan.refresh(layers, both, raw.limit(0), newest_only=True, days=days)
+    mart = {str(r.date): (r.total_hours, r.temp_max) for r in built[plan.MART_DAILY].collect()}
+    assert mart == {"2026-02-07": (1, 1.0), "2026-02-08": (2, 5.0), "2026-02-09": (2, 6.0)}
+    assert sorted(r.temperature_2m for r in built[plan.MART_ANOMALIES].collect()) == [1.0, 3.0, 4.0, 5.0, 6.0]
+    scans = latest_rows(both.where(plan._of_days(days)))._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in scans.splitlines() if "FileScan parquet" in line and "/raw" in line]
+    assert len(lines) >= 2 and all("time#" in line and "GreaterThanOrEqual(time" in line for line in lines)
+    # Options that differ from the stored ones are refused before anything is written.
+    with pytest.raises(ValueError, match="refresh all days"):
+        plan.refresh(layers, both, raw.limit(0), days=days)
+
+
 def test_build_once_leaves_a_table_alone(spark, layers):
     tables.build_once(layers, readings(spark, [1.0, 2.0]), "staging.weather")
     assert tables.build_once(layers, readings(spark, [1.0]), "staging.weather").count() == 2
