@@ -10,8 +10,8 @@ group the softmax has a bias only, whose maximum is the smoothed relative count.
 
 A context is (class before, class two before, last frequent word), so the whole
 corpus reduces to counts of (context, class): at most ``CELLS`` rows, whatever its
-size. Training reads them in parts; every part returns the gradient and its
-curvature, whose sums make one update of the weights.
+size. Training reads them in parts; every part gives the gradient and its
+curvature, which are summed by blocks of weight rows in Spark. The driver gets one table a step.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ CELLS = CONTEXTS * CLASSES
 FEATURES = 1 << 13
 #: Most frequent words whose counts every task holds; other words are joined with theirs.
 FREQUENT = 1 << 16
-#: Parts of a training step, and steps.
-PARTS, STEPS = 12, 10
+#: Parts of a training step, steps, and the blocks of weight rows that its gradients are summed by.
+PARTS, STEPS, BLOCKS = 8, 10, 16
 RIDGE = 1.0
 
 _SLOTS = 1 << 21
@@ -195,13 +195,36 @@ def _gradient(weights):
                 rows, begin = np.unique(features[order, j], return_index=True)
                 gradient[rows] += np.add.reduceat((own - expected)[order], begin, axis=0)
                 curvature[rows] += np.add.reduceat(np.maximum(expected, own)[order], begin, axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([gradient.astype(np.float32).tobytes()]), pa.array([curvature.astype(np.float32).tobytes()])],
-            ["gradient", "curvature"],
-        )
+        for block in range(BLOCKS):
+            yield _block(block, *(t[_rows(block)].astype(np.float32) for t in (gradient, curvature)))
     return run
 
 
+_BLOCK = "block int, gradient binary, curvature binary"
+
+
+def _rows(block: int) -> slice:
+    size = FEATURES // BLOCKS
+    return slice(block * size, (block + 1) * size)
+
+
+def _block(block: int, gradient: np.ndarray, curvature: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([gradient.tobytes()]), pa.array([curvature.tobytes()])], ["block", "gradient", "curvature"]
+    )
+
+
+def _sum_blocks(batches):
+    """Gradients and curvatures of a block of weight rows, summed over the parts."""
+    sums = {}
+    for batch in batches:
+        for block, *both in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            tables = [np.frombuffer(t, np.float32).reshape(-1, CLASSES) for t in both]
+            sums[block] = [a + b for a, b in zip(sums[block], tables)] if block in sums else tables
+    for block, (gradient, curvature) in sums.items():
+        yield _block(block, gradient, curvature)
+
+
 def _trained(cells: DataFrame) -> np.ndarray:
     """Weights after ``STEPS`` updates; each is one pass over the counts, in at most ``PARTS`` parts."""
     context = cells.sparkSession.sparkContext
@@ -216,13 +239,13 @@ def _trained(cells: DataFrame) -> np.ndarray:
         shared = context.broadcast(weights)
         gradient = np.zeros((FEATURES, CLASSES))
         curvature = np.zeros((FEATURES, CLASSES))
-        for row in parts.mapInArrow(_gradient(shared), "gradient binary, curvature binary").collect():
-            gradient += np.frombuffer(row.gradient, np.float32).reshape(FEATURES, CLASSES)
-            curvature += np.frombuffer(row.curvature, np.float32).reshape(FEATURES, CLASSES)
+        for row in parts.mapInArrow(_gradient(shared), _BLOCK).repartition(BLOCKS, "block").mapInArrow(_sum_blocks, _BLOCK).collect():
+            gradient[_rows(row.block)] += np.frombuffer(row.gradient, np.float32).reshape(-1, CLASSES)
+            curvature[_rows(row.block)] += np.frombuffer(row.curvature, np.float32).reshape(-1, CLASSES)
         # Features overlap, so each takes its share of the step that its own curvature allows.
         step = (gradient - RIDGE * weights) / (active / 2 * curvature + RIDGE)
         weights = (weights + np.clip(step, -1, 1)).astype(np.float32)
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 
@@ -301,7 +324,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         .groupBy("context", "class").agg(F.sum("count").alias("count")),
         "cells",
     )
-    singles = [int(w) for w in top["word"][:SINGLES]]
+    # A word that lost its slot is rare to every task, and belongs to its group.
+    own = lexicon.words[:SINGLES]
+    singles = [int(w) for w in own[lexicon.rank(own) >= 0].view(np.int64)]
     inner = np.zeros(CLASSES)
     groups = vocabulary.where(~F.col("word").isin(singles)).groupBy("group").agg(F.sum("count").alias("n"), F.count("*").alias("v"))
     for row in groups.collect():
@@ -314,6 +339,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         .withColumn("row", F.monotonically_increasing_id()),
         "scored",
     )
+    model.destroy()
+    shared.destroy()
     # The slots are the same here as in the tasks, so a rare word is never among those that tasks hold.
     rare = scored.select("row", F.explode("rare").alias("word")).join(vocabulary.select("word", "count"), "word", "left")
     rare = rare.groupBy("row").agg(
