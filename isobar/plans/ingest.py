@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from isobar.functions.lineage import batch_id_of
 from isobar.session import settle
 from isobar.sources.cities import request_range, require_in
-from isobar.sources.landing import requested, scan_landing
+from isobar.sources.landing import requested, scan_documents, scan_landing
 from isobar.sources.payload import (
     all_rows,
     enrich,
@@ -57,7 +57,7 @@ def ingest(
     Both grains are written by one job, so a run that fails leaves nothing
     behind. Refused documents give no rows; ``on_failure`` says whether a
     document that cannot become rows stops the run or is refused as well. Refused
-    documents are always recorded with their reasons, in ``refused_path`` or beside
+    documents are always recorded with reasons, files and texts, in ``refused_path`` or beside
     the raw root; only a run that has some reads documents again for that.
     With ``on_refused="fail"`` such a run then fails.
 
@@ -107,7 +107,10 @@ def ingest(
              first, last, documents.get, rows.get, others)
     if documents.get["refused"]:
         path = refused_path or f"{raw_root.rstrip('/')}_refused"
-        refused(judged).write.mode("append").partitionBy("batch_id").parquet(path)
+        # Read once more as text, so that the record can be taken again from itself.
+        kept = requested(scan_documents(spark, landing, form), first, last, city_ids)
+        again = judge(stamped(enrich(kept, dimension), run_ts))
+        refused(again).write.mode("append").partitionBy("batch_id").parquet(path)
         log.warning("batch %s: %s documents refused, see %s", batch_id_of(run_ts), documents.get["refused"], path)
         if on_refused == "fail":
             raise RefusedDocuments(f"{documents.get['refused']} documents refused, see {path}")

@@ -8,15 +8,19 @@ their footers; Spark reads every group as it is, with its own pruning and
 pushdown, and the groups are cast to the canonical schema and put together.
 1.5 stays 1.5 whichever file comes first, and a value that a cast would change
 stops the scan with its file and column. Use this once, to bring foreign files
-into the raw layer; canonical files need only ``scan_files``.
+into the raw layer; canonical files need only ``scan_files``. Footers are read by tasks; those of files in
+a store that only Spark reads by the driver, a few kilobytes of each.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
@@ -31,6 +35,8 @@ READ_AS = {
     "float": "float", "double": "double", "string": "string", "large_string": "string",
     "date32[day]": "date", "timestamp[ms]": "timestamp_ntz", "timestamp[us]": "timestamp_ntz",
 }
+#: tails that the driver reads at once, of files that Python workers cannot open
+READERS = 16
 NANOS = "timestamp[ns"
 _NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
@@ -52,14 +58,41 @@ def _footers():
                 uri = path.replace("s3a://", "s3://", 1)
                 if uri.startswith("file:/") and not uri.startswith("file://"):
                     uri = "file://" + uri[len("file:"):]
-                filesystem, name = pyarrow.fs.FileSystem.from_uri(uri)
-                with pyarrow.parquet.ParquetFile(filesystem.open_input_file(name)) as file:
+                try:
+                    filesystem, name = pyarrow.fs.FileSystem.from_uri(uri)
+                    opened = filesystem.open_input_file(name)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    shapes.append(None)  # a store that only Spark reads
+                    continue
+                with pyarrow.parquet.ParquetFile(opened) as file:
                     shapes.append(json.dumps([[f.name, str(f.type)] for f in file.schema_arrow]))
             yield pa.record_batch([batch.column(0), pa.array(shapes, pa.string())], names=["path", "shape"])
 
     return read
 
 
+def _footer(spark: SparkSession, path: str) -> str:
+    """The same for one file in a store that only Spark reads: its tail alone, by the file systems that Spark uses."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    length = system.getFileStatus(where).getLen()
+
+    def tail(size: int) -> bytes:
+        stream = system.open(where)
+        try:
+            stream.seek(length - size)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+        finally:
+            stream.close()
+
+    # A file ends with its footer, the footer's length and a mark of four bytes.
+    ending = tail(min(8, length))
+    footer = tail(min(length, 8 + int.from_bytes(ending[:4], "little")))
+    shape = parquet.read_schema(pa.BufferReader(b"PAR1" + footer))
+    return json.dumps([[f.name, str(f.type)] for f in shape])
+
+
 def _plain(kind: str) -> str:
     """The type of the values of a dictionary-encoded column, or the type itself."""
     return kind.split("values=", 1)[1].split(",", 1)[0] if kind.startswith("dictionary<") else kind
@@ -120,7 +153,13 @@ def scan_drifted(
         .mapInArrow(_footers(), "path string, shape string")
     )
     # The driver lists these files for the scans anyway.
-    groups = files.groupBy("shape").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("shape").collect()
+    found = files.groupBy("shape").agg(F.collect_list("path").alias("paths")).collect()
+    of = {g["shape"]: list(g["paths"]) for g in found}
+    with ThreadPoolExecutor(READERS) as readers:
+        unread = of.pop(None, [])
+        for path, shape in zip(unread, readers.map(lambda p: _footer(spark, p), unread)):
+            of.setdefault(shape, []).append(path)
+    groups = [{"shape": shape, "paths": sorted(paths)} for shape, paths in sorted(of.items())]
     # A scan keeps the setting under which it was made; other reads of the session are left alone.
     before = spark.conf.get(_NANOS_AS_LONG, None)
     spark.conf.set(_NANOS_AS_LONG, "true")

@@ -81,10 +81,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def refused(judged: DataFrame) -> DataFrame:
-    """The documents that give no rows, and why."""
+    """The documents that give no rows, and why; with their file and text where ``scan_documents`` kept them."""
     reason = F.coalesce("reject_reason", "failure_reason")
+    kept = [c for c in ("file", "document") if c in judged.columns]
     return judged.select(
-        "city_id", "start_date", "end_date", "landed_at", reason.alias("reason"), "batch_id"
+        "city_id", "start_date", "end_date", "landed_at", reason.alias("reason"), "batch_id", *kept
     ).where(F.col("reason").isNotNull())
 
 

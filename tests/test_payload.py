@@ -197,3 +197,4 @@ def test_a_failing_run_leaves_nothing(spark, tmp_path):
     assert scan_raw(spark, "hourly", root).count() == 24
     refused = spark.read.parquet(f"{tmp_path}/refused").collect()
     assert [(r.city_id, r.reason) for r in refused] == [("tokyo", "ragged_hourly")]
+    assert json.loads(refused[0].document) == changed("hourly", rain=[1.0]) and refused[0].file.endswith("/a.json")

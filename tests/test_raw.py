@@ -120,3 +120,16 @@ def test_several_roots(spark, tmp_path):
     write_raw(batch(spark, "a", 1.0), f"{tmp_path}/one")
     write_raw(batch(spark, "b", 1.0), f"{tmp_path}/two")
     assert scan_raw(spark, "hourly", f"{tmp_path}/one", f"{tmp_path}/two").count() == 4
+
+
+def test_drifted_files_in_a_store_that_only_spark_reads(spark, tmp_path):
+    """The scan goes through a view of a folder, whose scheme no other reader knows."""
+    pa_table = pa.table({
+        "time": pa.array([datetime(2026, 2, 8, 1)], pa.timestamp("ns")), "city_id": ["paris"], "temperature_2m": pa.array([3], pa.int64()),
+    })
+    pq.write_table(pa_table, f"{tmp_path}/a.parquet")
+    pq.write_table(pa_table.set_column(2, "temperature_2m", pa.array([1.5])), f"{tmp_path}/b.parquet")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.drifted.link./in", f"file://{tmp_path}")
+    rows = scan_drifted(spark, "viewfs://drifted/in", HOURLY).select("time", "city_id", "temperature_2m")
+    assert sorted(map(tuple, rows.collect())) == [(datetime(2026, 2, 8, 1), "paris", 1.5), (datetime(2026, 2, 8, 1), "paris", 3.0)]
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == "false"
