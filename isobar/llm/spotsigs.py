@@ -3,8 +3,9 @@
 A spot is a stretch of text behind a common word, the anchor. Its signature is the
 hash of the chain of the ``CHAIN`` content words that follow, anchors left out. A
 document's set of signatures is its fingerprint; documents are alike as the Jaccard
-similarity of their sets. Texts with fewer than ``SPOTS`` spots, such as lists, have
-a spot at every word.
+similarity of their sets. The start of a text is an anchor too, and so that texts without common words,
+such as lists, have spots as well, one of ``SPREAD`` content words begins a spot, by a hash of the
+word. All texts are read by these rules, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ ANCHORS = (
     "el los las y se por con para del una"
 ).split()
 CHAIN = 2
-SPOTS = 8
+SPREAD = 8
 
 
 def words(text: Column) -> Column:
@@ -32,11 +33,14 @@ def words(text: Column) -> Column:
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The distinct signatures of a text (array<int>); empty if it has no words."""
     all_words = words(text)
-    marked = F.array_join(F.transform(all_words, lambda w: F.when(w.isin(ANCHORS), "\n").otherwise(w)), " ")
-    # What stands before the first anchor is no spot; anchors in a row are one.
-    spots = F.filter(F.transform(F.split(marked, "\n"), lambda s, i: F.when(i > 0, F.trim(s)).otherwise("")), lambda s: s != "")
-    # A document of anchors only still has itself.
-    pieces = F.when(F.size(spots) >= SPOTS, spots).otherwise(all_words)
+    begins = lambda w: F.crc32(w.cast("binary")) % SPREAD == 0
+    marked = F.array_join(F.transform(
+        all_words, lambda w: F.when(w.isin(ANCHORS), "\n").when(begins(w), F.concat(F.lit("\n"), w)).otherwise(w)
+    ), " ")
+    # Anchors in a row are one.
+    spots = F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    # A text of common words only has no content word, and is taken by its words.
+    pieces = F.when(F.size(spots) > 0, spots).otherwise(all_words)
     return F.transform(F.array(pieces), lambda p: F.array_distinct(F.transform(p, lambda s, i: F.hash(
         F.substring_index(F.concat_ws(" ", s, *(F.get(p, i + k) for k in range(1, chain))), " ", chain)
     ))))[0]
