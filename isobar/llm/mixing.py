@@ -61,6 +61,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
+def expected_copies(by_level: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+    """(source, level, source_size, target, expected) from (source, level, words) and ``targets``.
+
+    In descending order of level, those come first whose documents stop at ``most`` copies; the rest go by level
+    and share what these leave of the target. One small row per source and level.
+    """
+    met = by_level.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    down = Window.partitionBy("source").orderBy(F.desc("level"))
+    stopped = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weighed = F.sum(F.col("level") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    share = (F.col("target") - most * stopped) / F.nullif(weighed, F.lit(0.0))
+    shared = met.withColumn("share", share)
+    level = F.first(F.when(F.col("share") * F.col("level") <= most, F.col("share")), ignorenulls=True).over(
+        down.rowsBetween(Window.unboundedPreceding, 0)
+    )
+    expected = F.when((F.col("source_size") == 0) | (F.col("level") == 0), 0.0).otherwise(
+        F.coalesce(F.least(F.lit(most), level * F.col("level")), F.lit(most))
+    )
+    return shared.select("source", "level", "source_size", "target", expected.alias("expected"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -72,32 +93,25 @@ def mix(
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` is how often the mix takes the document, ``taken`` the words of all
-    copies. ``weight`` (default: 1 for all) makes the expected copies of a document
-    unequal inside its source: a factor that is brought to a mean of 1, by words, and
-    stops at ``most`` copies. A null text has no words, is never ranked before others
+    copies. ``weight`` (default: 1 for all; null: 0), of a few different values, makes the
+    expected copies of documents unequal inside their source: they go by weight, and
+    stop at ``most``, of which the others take what is left, so the target is met. A null text has no words, is never ranked before others
     and takes the certain copies; null sources are one source. Repeated rows of one id
     have the same random number and stand side by side. Other columns are ignored.
     """
-    factor = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+    level = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = settle(
-        docs.select("doc_id", "source", words(F.col("text")).alias("size"), factor.alias("factor"), uniform(F.col("doc_id"), seed).alias("u"))
+        docs.select("doc_id", "source", words(F.col("text")).alias("size"), level.alias("level"), uniform(F.col("doc_id"), seed).alias("u"))
         .withColumn("row", F.monotonically_increasing_id()),
         "sizes",
     )
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("factor") * F.col("size")).alias("factors"))
-    plan = targets(by_source.select("source", "source_size"), weights, share, most)
-    plan = settle(plan.join(by_source.select(F.col("source").alias("s"), "factors"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-
-    plan_key = plan.withColumnRenamed("source", "s")
-    expected = F.when(
-        F.col("factors") > 0,
-        F.least(F.lit(most), F.col("target") / F.col("source_size") * F.col("factor") * F.col("source_size") / F.col("factors")),
-    ).otherwise(0.0)
-    if weight is None:
-        expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    by_level = settle(rows.groupBy("source", "level").agg(F.sum("size").alias("words")), "levels")
+    by_source = by_level.groupBy("source").agg(F.sum("words").alias("source_size"))
+    plan = settle(expected_copies(by_level, targets(by_source, weights, share, most), most), "targets")
+
+    plan_key = plan.withColumnRenamed("source", "s").withColumnRenamed("level", "l")
     ranked = (
-        rows.join(plan_key, F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("expected", expected).drop("s", "factors", "factor")
+        rows.join(plan_key, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left").drop("s", "l", "level")
         .withColumn("certain", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("certain"))
         .withColumn("odds", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))

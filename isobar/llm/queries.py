@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isobar.llm import alignment, audit, decontamination, languages, maxent, minhash, mixing, packing, spotsigs, sql, token_files, toxicity, warc, wrappers
 from isobar.llm.ship import ship
@@ -22,8 +22,9 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents by source."""
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    """The mix of all documents by source; texts of 1,000 code points or more weigh twice as much as shorter ones."""
+    weight = F.when(F.length("text") >= 1000, 2).otherwise(1)
+    return mixing.mix(_table(spark, sf_dir, "documents"), weight=weight)
 
 
 def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

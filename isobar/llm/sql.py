@@ -4,6 +4,7 @@
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    CASE WHEN length(text) >= 1000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS level,
     (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
 ), s AS (
@@ -21,9 +22,24 @@ WITH d AS (
   FROM r
 ), t AS (
   SELECT source, source_size, coalesce(least(lim, open * weight), lim) AS target FROM o
+), b AS (
+  SELECT source, level, sum(size)::DOUBLE AS words FROM d GROUP BY source, level
+), k AS (
+  SELECT b.*, source_size, target, (target - 2.0::DOUBLE
+    * coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(level * words) OVER (PARTITION BY b.source ORDER BY level DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS share
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+), m AS (
+  SELECT *, first_value(CASE WHEN share * level <= 2 THEN share END IGNORE NULLS)
+    OVER (PARTITION BY source ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open
+  FROM k
+), n AS (
+  SELECT source, level, source_size, target,
+    CASE WHEN source_size = 0 THEN 0.0 ELSE coalesce(least(2.0::DOUBLE, open * level), 2.0::DOUBLE) END AS expected
+  FROM m
 ), e AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS expected
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, source_size, target, expected
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source AND d.level = n.level
 ), p AS (
   SELECT *, floor(expected)::BIGINT AS certain, expected - floor(expected) AS p FROM e
 ), q AS (

@@ -50,6 +50,24 @@ def test_unequal_weights_favour_heavy_documents(docs):
     assert counts["a", True] > 2 * counts["a", False]
 
 
+def test_weights_keep_the_targets(docs):
+    """Three weights, sources whose heavy documents stop at two copies, and one that takes all twice."""
+    chance = random.Random(3)
+    rows = [(i, "w " * chance.choice([1, 5, 20, 60]), chance.choice("aabcdddddd")) for i in range(3000)]
+    weight = F.element_at(F.array(F.lit(9.0), F.lit(2.0), F.lit(1.0)), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    result = mix(docs(rows), weight=weight).collect()
+    for source in "abcd":
+        own = [r for r in result if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+        mean = [sum(r.copies for r in own if r.doc_id % 3 == k) / sum(r.doc_id % 3 == k for r in own) for k in range(3)]
+        if own[0].target < 1.99 * own[0].source_size:
+            assert mean[0] >= mean[1] > mean[2]
+        else:
+            assert min(mean) > 1.9
+    nothing = mix(docs(rows), weight=F.lit(None).cast("double")).collect()
+    assert {r.taken for r in nothing} == {0}
+
+
 def test_odd_rows(docs):
     result = mix(docs([(*r, None) for r in NASTY])).collect()
     assert len(result) == len(NASTY)
