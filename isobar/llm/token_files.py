@@ -241,6 +241,7 @@ def _records(spec, end: int):
             return
         yield from map(out, blocks(True))
         yield out(_index(offset, starts, ids, np.concatenate(counts)))
+        W.give_back()
     return run
 
 
@@ -261,6 +262,7 @@ def write_token_files(docs: DataFrame, path: str, spec: str, end: int = 1) -> No
 
 def _documents(batches):
     _known.clear()  # reading needs the memory, not the words
+    W.give_back()
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             data = memoryview(content.as_buffer())

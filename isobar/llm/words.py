@@ -7,6 +7,8 @@ hashed, so memory does not follow the length of a text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other tasks, with what its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def groups(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes each, one row at least."""
     low, n = 0, len(offsets) - 1
@@ -65,23 +75,26 @@ _FOLDED = _CODES[_LOWER]
 _FACTORS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def _factors(place: np.ndarray) -> np.ndarray:
-    factors = _FACTORS[place & 0xFFFF]
-    if len(place) > 1 << 16 and place.max() >= 1 << 16:
-        factors *= np.where(place < 1 << 16, np.uint64(1), _FACTORS[(place >> 16) ^ 0xAAAA])
-    return factors
+def _hashed(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of runs of ``sizes`` bytes that stand one after another, given by the values of their bytes."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes), dtype=np.int32 if len(codes) < 1 << 31 else np.int64)
+    place -= np.repeat(first.astype(place.dtype), sizes)
+    if sizes.max() <= 1 << 16:
+        codes *= _FACTORS.take(place)
+    else:
+        codes *= _FACTORS.take(place & 0xFFFF)
+        codes *= np.where(place < 1 << 16, np.uint64(1), _FACTORS.take(place >> 16 ^ 0xAAAA, mode="wrap"))
+    return mix(np.add.reduceat(codes, first) + sizes.astype(np.uint64))
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     """64-bit hashes of the given runs of bytes, which are not empty and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
-    coded = (_FOLDED if fold else _CODES)[data[place + np.repeat(starts, sizes)]]
-    coded *= _factors(place)
-    return mix(np.add.reduceat(coded, first) + sizes.astype(np.uint64))
+    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return _hashed((_FOLDED if fold else _CODES).take(data[at]), sizes)
 
 
 def _piece(
@@ -93,7 +106,8 @@ def _piece(
     start[1:] &= space[:-1] | first[1:]
     end[:-1] &= space[1:] | first[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return starts, ends, hash_runs(data, starts, ends, fold)
+    # Every byte that is no space is in one word.
+    return starts, ends, _hashed((_FOLDED if fold else _CODES).take(data[~space]), ends - starts)
 
 
 def spans(
