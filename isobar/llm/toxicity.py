@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.llm import words as W
+from isobar.session import settle
 
 WINDOW = 40
 RUN = 6
@@ -74,16 +75,15 @@ def _runs(data: bytes | np.ndarray) -> np.ndarray:
     return (W.mix(h) % np.uint64(_BUCKETS)).astype(np.int64)
 
 
-def _frequency(sample: list[bytes]) -> np.ndarray:
-    """In how many different windows each run stands."""
-    counts = np.zeros(_BUCKETS, np.int32)
+def _frequency(sample: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs, and in how many of the windows each stands."""
+    parts = [np.zeros(0, np.int64)]
     for low in range(0, len(sample), 512):
         part = sample[low : low + 512]
         runs = [_runs(w) for w in part]
         row = np.repeat(np.arange(len(part)), [len(r) for r in runs])
-        both = np.unique(row * _BUCKETS + np.concatenate(runs)) if runs else np.zeros(0, np.int64)
-        np.add.at(counts, both % _BUCKETS, 1)
-    return counts
+        parts.append(np.unique(row * _BUCKETS + np.concatenate(runs)) % _BUCKETS)
+    return np.unique(np.concatenate(parts), return_counts=True)
 
 
 def _stretches(sample: list[bytes], telling: np.ndarray) -> list[bytes]:
@@ -159,52 +159,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return w, mean, scale
 
 
-def train(sample: list[tuple[int, list[bytes], str]], share: float) -> dict:
-    """Dictionaries, telling runs and curve from labelled (toxic, sampled windows, text).
-
-    ``share`` is that of toxic documents among all labelled ones, which the sample
-    need not keep.
-    """
-    cut = int(len(sample) * TRAINED)
-    learn, calibrate = sample[:cut], sample[cut:]
-    toxic = list(dict.fromkeys(w for label, own, _ in learn if label for w in own))
-    ordinary = list(dict.fromkeys(w for label, own, _ in learn if not label for w in own))
-    often, plainly = _frequency(toxic), _frequency(ordinary)
-    runs = np.flatnonzero(often >= np.clip(len(toxic) // ONE_OF, *LEAST))
-    ratio = np.log((often[runs] + 0.1) / max(1, len(toxic))) - np.log((plainly[runs] + 0.5) / max(1, len(ordinary)))
-    telling = np.zeros(_BUCKETS, bool)
-    telling[runs[ratio > RATIO]] = True
-    del often, plainly
-    size, plain = 0, []
-    for window in ordinary:
-        size += len(window)
-        plain.append(window)
-        if size > TRAINED_BYTES:
-            break
-    content = _trained(_stretches(toxic, telling), TOXIC_BYTES)
-    model = {"toxic": content, "ordinary": _trained(plain, ORDINARY_BYTES)}
-    known = np.unique(_runs(content))
-    model["telling"] = known[telling[known]]
-    distance = Distance(**model)
-    x = np.array([distance.features(text) for _, _, text in calibrate]).reshape(-1, 5)
-    y = np.array([label for label, _, _ in calibrate], float)
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logistic curve of labelled documents, moved to the ``share`` of toxic ones among all, which the sample need not keep."""
     if len(set(y.tolist())) < 2:
         # Nothing to calibrate with: the share of toxic documents, whatever the text.
         bias = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
-        return model | {"curve": (np.array([bias, 0, 0, 0, 0, 0]), np.zeros(5), np.ones(5))}
+        return np.array([bias, 0, 0, 0, 0, 0]), np.zeros(5), np.ones(5)
     weights, mean, scale = _logistic(x, y)
     weights[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return model | {"curve": (weights, mean, scale)}
+    return weights, mean, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """A model from a bounded sample of the labelled rows of ``docs`` (doc_id, text) that are not held out.
-
-    ``labels`` has doc_id and toxic (1 or 0; null: no label; the largest of several
-    counts). The ``TOXIC`` and ``ORDINARY`` documents of each kind with the least hashes
-    of their ids are looked at, and of each ``WINDOWS`` windows, evenly spread; no other
-    column is.
-    """
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(label, learns, windows) of the documents that the fit looks at, and the share of toxic labels."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     counts = {row["label"]: row["n"] for row in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -213,26 +180,104 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     for label, most in ((1, TOXIC), (0, ORDINARY)):
         some = order.where(F.col("label") == label).orderBy("order", "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
+    learns = F.pmod(F.xxhash64("doc_id", F.lit("learns")), F.lit(1000)) < int(1000 * TRAINED)
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            own = [windows(t) for t in texts]
+            own = [windows(t) for t in batch.column("text").to_pylist()]
             own = [w if len(w) <= WINDOWS else [w[i * len(w) // WINDOWS] for i in range(WINDOWS)] for w in own]
-            # For calibration a text counts as far as its sampled windows.
             yield pa.RecordBatch.from_arrays(
-                [batch.column("order"), batch.column("label"), pa.array(own, pa.list_(pa.binary()))], ["order", "label", "windows"]
+                [*(batch.column(c) for c in ("order", "label", "learns")), pa.array(own, pa.list_(pa.binary()))],
+                ["order", "label", "learns", "windows"],
             )
+        W.give_back()
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("order", "label", "text").mapInArrow(
-        cut, "order long, label int, windows array<binary>"
-    ).toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
-    sample = [
-        (label, own, b" ".join(own).decode(errors="ignore"))
-        for label, own in zip(rows.column("label").to_pylist(), rows.column("windows").to_pylist())
-    ]
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("order", "label", learns.alias("learns"), "text")
+    sample = settle(rows.mapInArrow(cut, "order long, label int, learns boolean, windows array<binary>"), "sample")
     total = max(1, sum(counts.values()))
-    return train(sample, min(max(counts.get(1, 0) / total, 1e-3), 1 - 1e-3))
+    return sample, min(max(counts.get(1, 0) / total, 1e-3), 1 - 1e-3)
+
+
+def _counted(distinct: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(run, n): in how many windows each run stands, of all runs or those in ``only`` (sorted)."""
+    shared = distinct.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches):
+        for batch in batches:
+            runs, n = _frequency(batch.column("window").to_pylist())
+            if shared.value is not None:
+                held = np.isin(runs, shared.value)
+                runs, n = runs[held], n[held]
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n)], ["run", "n"])
+        W.give_back()
+
+    return distinct.select("window").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """A model from a bounded sample of the labelled rows of ``docs`` (doc_id, text) that are not held out.
+
+    ``labels`` has doc_id and toxic (1 or 0; null: no label; the largest of several
+    counts). The ``TOXIC`` and ``ORDINARY`` documents of each kind with the least hashes
+    of their ids are looked at, and of each ``WINDOWS`` windows, evenly spread; no other
+    column is. Runs are counted and documents compared in Spark; the driver trains the
+    dictionaries, on text of bounded size, and fits the curve.
+    """
+    context = docs.sparkSession.sparkContext
+    sample, share = _sample(docs, labels)
+    learnt = sample.where("learns").select("label", F.explode("windows").alias("window")).distinct()
+    learnt = settle(learnt.withColumn("order", F.xxhash64("window")), "windows")
+    sizes = {row["label"]: row["n"] for row in learnt.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_plain = sizes.get(1, 0), sizes.get(0, 0)
+    toxic, plain = learnt.where("label = 1"), learnt.where("label = 0")
+
+    least = int(np.clip(n_toxic // ONE_OF, *LEAST))
+    often = _counted(toxic).where(F.col("n") >= least).toArrow().sort_by("run")
+    runs, n = often.column("run").to_numpy(), often.column("n").to_numpy()
+    there = _counted(plain, runs).toArrow()
+    also = np.zeros(len(runs))
+    also[np.searchsorted(runs, there.column("run").to_numpy())] = there.column("n").to_numpy()
+    ratio = np.log((n + 0.1) / max(1, n_toxic)) - np.log((also + 0.5) / max(1, n_plain))
+    shared = context.broadcast(runs[ratio > RATIO])
+
+    def stretches(batches):
+        telling = np.zeros(_BUCKETS, bool)
+        telling[shared.value] = True
+        for batch in batches:
+            for order, window in zip(batch.column("order").to_pylist(), batch.column("window").to_pylist()):
+                found = _stretches([window], telling)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([order]), pa.array([found], pa.list_(pa.binary()))], ["order", "parts"])
+        W.give_back()
+
+    hot = toxic.select("order", "window").mapInArrow(stretches, "order long, parts array<binary>").toArrow()
+    samples = [p for _, parts in sorted(zip(hot.column("order").to_pylist(), hot.column("parts").to_pylist())) for p in parts]
+    content = _trained(samples, TOXIC_BYTES)
+    # About as many ordinary windows as make up the bytes to train on, by their hash.
+    kept = int(min(1.0, TRAINED_BYTES / WINDOW / max(1, n_plain)) * 1_000_000)
+    some = plain.where(F.pmod("order", F.lit(1_000_000)) < kept).select("order", "window").toArrow().sort_by([("order", "ascending")])
+    model = {"toxic": content, "ordinary": _trained(some.column("window").to_pylist(), ORDINARY_BYTES)}
+    known = np.unique(_runs(content))
+    model["telling"] = known[np.isin(known, shared.value)]
+    del hot, samples, some
+    trained = context.broadcast(model)
+
+    def measured(batches):
+        distance = Distance(*(trained.value[k] for k in ("toxic", "ordinary", "telling")))
+        for batch in batches:
+            # For calibration a text counts as far as its sampled windows.
+            texts = [b" ".join(own).decode(errors="ignore") for own in batch.column("windows").to_pylist()]
+            x = np.array([distance.features(t) for t in texts]).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("order"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["order", "label", "x"]
+            )
+
+    found = sample.where("NOT learns").select("order", "label", "windows").mapInArrow(measured, "order long, label int, x array<double>")
+    found = found.toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    x = np.array(found.column("x").to_pylist(), float).reshape(-1, 5)
+    shared.destroy()
+    trained.destroy()
+    return model | {"curve": _curve(x, found.column("label").to_numpy().astype(float), share)}
 
 
 def _scores(model: dict):
@@ -267,6 +312,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         of = _scores(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(of(batch.column("text")) < THRESHOLD))
+        W.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
