@@ -50,6 +50,8 @@ def test_every_query_has_its_columns(spark):
         "op6_": "doc_id size text_crc32 law shard slot grown_shard", "op7_": "doc_id start n_tokens ids_crc32",
         "op8_": "doc_id n_shingles component_id kept", "op9_": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op10_": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op11_": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_": "doc_id held_out lang_pred score",
+        "op13_": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
     }
     for start, columns in expected.items():
         (name,) = [n for n in queries() if n.startswith(start)]
