@@ -37,8 +37,8 @@ from isobar.session import settle
 CHUNK, FAN = 1 << 15, 8
 #: Most frequent pairs, whose counts every task holds (13 bytes each).
 FREQUENT = 1 << 18
-#: Units that a worker remembers, about 150 bytes each; units tokenized in one string.
-UNITS, JOINED = 800_000, 4096
+#: Bytes of the units that a worker remembers, about 190 each; units tokenized in one string, and scored at once.
+HELD, JOINED, _SCORED = 120_000_000, 4096, 1 << 15
 #: Bytes of text handled at once, and ids of pairs that are counted before they are handed on.
 _GROUP, _BUFFER = 1 << 20, 8_000_000
 #: Links of a group from which its ids are counted before they are paired.
@@ -62,6 +62,55 @@ class _Runs:
         return self.flat[_at(self.begin[which], self.size[which])]
 
 
+class _Column:
+    """An array that grows at its end; what is not used yet takes no memory."""
+
+    def __init__(self, dtype, *width: int):
+        self.room, self.n = np.empty((0, *width), dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.empty((max(end, len(self.room) * 3 // 2), *self.room.shape[1:]), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = values
+        self.n = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def __getitem__(self, which):
+        return self.values[which]
+
+    @property
+    def bytes(self) -> int:
+        return self.values.nbytes
+
+
+class _Kept:
+    """Runs that grow at their end; ``more``: further values, one for each item."""
+
+    def __init__(self, *dtypes):
+        self.begin, self.size = _Column(np.int64), _Column(np.int32)
+        self.flat, *self.more = self.columns = [_Column(d) for d in dtypes]
+
+    def add(self, size: np.ndarray, *values: np.ndarray) -> None:
+        self.begin.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        for column, own in zip(self.columns, values):
+            column.add(own)
+
+    def gather(self, which: np.ndarray) -> list[np.ndarray]:
+        at = _at(self.begin[which], self.size[which])
+        return [column[at] for column in self.columns]
+
+    @property
+    def bytes(self) -> int:
+        return sum(c.bytes for c in (self.begin, self.size, *self.columns))
+
+
 def _strings(items: list[bytes]) -> _Runs:
     return _Runs(np.frombuffer(b"".join(items), np.uint8), np.fromiter(map(len, items), np.int64, len(items)))
 
@@ -264,10 +313,19 @@ class Known:
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.groups = _NOTHING
+        # No unit of a row under ``CHUNK`` bytes has 2**31 links.
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.good, self.n, self.text, self.pairs = _Column(bool), _Column(np.int32, 4), _Kept(np.uint8), _Kept(np.uint32, np.int32)
+        self._unscored(None)
+
+    def _unscored(self, key: str | None) -> None:
         #: of the table of counts: its key, and per unit links of the best count, the sum of counts, pairs not in it
-        self.scored_by, self.scores, self.rare = None, np.zeros((0, 2), np.int64), _NOTHING
+        self.scored_by, self.scores, self.rare = key, _Column(np.int64, 2), _Kept(np.uint32, np.int32)
+
+    @property
+    def bytes(self) -> int:
+        kept = self.good, self.n, self.text, self.pairs, self.scores, self.rare
+        return self.hash.nbytes + self.slot.nbytes + sum(c.bytes for c in kept)
 
     def _learn(self, units: list[bytes]) -> Groups:
         kinds = {"spaced": [], "bare": [], "alone": []}
@@ -285,7 +343,7 @@ class Known:
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the units of rows that each begin with a space, and each row's first unit (one more at the end)."""
-        if len(self.hash) > UNITS:
+        if self.bytes > HELD:
             self.forget()
         starts = unit_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
@@ -297,8 +355,11 @@ class Known:
             raw = data.tobytes()
             spots = where[new]
             learned = self._learn([raw[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist())])
-            slots = len(self.groups.good) + np.arange(len(new))
-            self.groups = _joined([self.groups, learned])
+            slots = self.good.n + np.arange(len(new))
+            self.good.add(learned.good)
+            self.n.add(learned.n)
+            self.text.add(learned.text.size, learned.text.flat)
+            self.pairs.add(learned.pairs.size, learned.pairs.flat, learned.weights)
             at = np.searchsorted(self.hash, seen[new])
             self.hash, self.slot = np.insert(self.hash, at, seen[new]), np.insert(self.slot, at, slots)
         slots = self.slot[np.searchsorted(self.hash, seen)][which]
@@ -307,19 +368,17 @@ class Known:
     def score(self, table: dict) -> None:
         """Bring the scores of all units up to date with the table of counts."""
         if self.scored_by != table["key"]:
-            self.scored_by, self.scores, self.rare = table["key"], np.zeros((0, 2), np.int64), _NOTHING
-        new = np.arange(len(self.scores), len(self.groups.good))
-        if not len(new):
-            return
-        own = _chosen(self.groups, new)
-        scores, missing = counted(table, own.pairs.flat.astype(np.int64), own.weights)
-        unit = np.repeat(np.arange(len(new)), own.pairs.size)
-        sums = np.stack([np.bincount(unit, s, len(new)).astype(np.int64) for s in scores], axis=1)
-        rare = own._replace(
-            text=_Runs(_NOTHING.text.flat, np.zeros(len(new), np.int64)),
-            pairs=_Runs(own.pairs.flat[missing], np.bincount(unit[missing], minlength=len(new))), weights=own.weights[missing],
-        )
-        self.scores, self.rare = np.concatenate([self.scores, sums]), _joined([self.rare, rare])
+            self._unscored(table["key"])
+        while self.scores.n < self.good.n:
+            new = np.arange(self.scores.n, min(self.scores.n + _SCORED, self.good.n))
+            codes, weights = (v.astype(np.int64) for v in self.pairs.gather(new))
+            scores, missing = counted(table, codes, weights)
+            unit = np.repeat(np.arange(len(new)), self.pairs.size[new])
+            sums = [np.zeros(len(new), np.int64) for _ in scores]
+            for total, own in zip(sums, scores):
+                np.add.at(total, unit, own)
+            self.scores.add(np.stack(sums, axis=1))
+            self.rare.add(np.bincount(unit[missing], minlength=len(new)), codes[missing], weights[missing])
 
 
 def counted(table: dict, codes: np.ndarray, weights: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -358,7 +417,7 @@ def _documents(known: Known, data: np.ndarray, offsets: np.ndarray):
     """Slots of the units of each document, the documents they are in, and which documents have tokens."""
     slots, first = known.units(data, offsets)
     document = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    good = np.logical_and.reduceat(known.groups.good[slots], first[:-1]) & (np.diff(offsets) > 1)
+    good = np.logical_and.reduceat(known.good[slots], first[:-1]) & (np.diff(offsets) > 1)
     return slots, first, document, good
 
 
@@ -378,7 +437,7 @@ def _count_pairs(spec):
                 slots, _, document, good = _documents(known, data, offsets)
                 both = np.unique((document << 32 | slots)[good[document]])
                 own = both & 0xFFFFFFFF
-                keys = np.repeat(both >> 32 << 32, known.groups.pairs.size[own]) | known.groups.pairs.gather(own)
+                keys = np.repeat(both >> 32 << 32, known.pairs.size[own]) | known.pairs.gather(own)[0]
                 buffer.append((np.unique(keys) & 0xFFFFFFFF).astype(np.uint32))
                 held += len(buffer[-1])
                 if held >= _BUFFER:
@@ -386,6 +445,7 @@ def _count_pairs(spec):
                     buffer, held = [], 0
         if held:
             yield from flush()
+        W.give_back()
     return run
 
 
@@ -409,25 +469,26 @@ def _digest(spec, table):
                 slots, first, document, good = _documents(known, data, offsets)
                 known.score(table.value)
                 begins = first[:-1]
-                n = np.add.reduceat(known.groups.n[slots], begins, axis=0) * good[:, None]
+                n = np.add.reduceat(known.n[slots], begins, axis=0, dtype=np.int64) * good[:, None]
                 scores = np.add.reduceat(known.scores[slots], begins, axis=0) * good[:, None]
-                text = known.groups.text.gather(slots)
-                ends = np.cumsum(np.add.reduceat(known.groups.text.size[slots], begins))
+                text = known.text.gather(slots)[0]
+                ends = np.cumsum(np.add.reduceat(known.text.size[slots], begins, dtype=np.int64))
                 raw = memoryview(text.tobytes())
                 hashes = [
                     hashlib.sha256(raw[a : b - 1]).hexdigest() if ok else ""
                     for a, b, ok in zip([0, *ends[:-1].tolist()], ends.tolist(), good.tolist())
                 ]
-                keep = good[document] & (known.rare.pairs.size[slots] > 0)
+                keep = good[document] & (known.rare.size[slots] > 0)
                 own = slots[keep]
-                keys = np.repeat(document[keep] << 32, known.rare.pairs.size[own]) | known.rare.pairs.gather(own)
-                keys, weights = _summed(keys, known.rare.weights[_at(known.rare.pairs.begin[own], known.rare.pairs.size[own])])
+                codes, weights = known.rare.gather(own)
+                keys, weights = _summed(np.repeat(document[keep] << 32, known.rare.size[own]) | codes, weights.astype(np.int64))
                 sizes = np.bincount(keys >> 32, minlength=high - low)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(low, high - low), *(pa.array(n[:, i]) for i in range(4)),
                     pa.array(scores[:, 0]), pa.array(scores[:, 1]), pa.array(hashes),
                     _lists(keys & 0xFFFFFFFF, sizes), _lists(weights, sizes),
                 ], _NAMES)
+        W.give_back()
     return run
 
 
@@ -607,6 +668,7 @@ def _fragments(spec):
             for r in batch.to_pylist():
                 made = fragment(known, r["units"], r["low"], r["high"], r["first"])
                 yield pa.RecordBatch.from_pylist([_as_row(r["row"], r["doc_id"], r["k"], made)], _FRAGMENT)
+        W.give_back()
     return run
 
 

@@ -126,3 +126,25 @@ def test_pairs_of_a_group_with_many_links(monkeypatch):
     monkeypatch.setattr(module, "_MANY", 0)
     many = module._linked(a, b, np.array([0, 20, 50]), np.array([0, 30, 40]), np.array([0, 1]))
     assert all(np.array_equal(x, y) for x, y in zip(few, many))
+
+
+def test_what_a_worker_remembers_is_bounded_in_bytes(monkeypatch):
+    """However long the units are; what was forgotten is learnt again, to the same groups and scores."""
+    known = Known(SPEC_A, SPEC_B)
+    table = {"key": "t", "codes": np.arange(0, 1 << 31, 5000), "counts": np.arange(0, 1 << 31, 5000) % 9, "best": np.arange(0, 1 << 31, 5000) % 2 == 0}
+
+    def seen(text):
+        data = np.frombuffer(b" " + text.encode(), np.uint8)
+        slots, _ = known.units(data, np.array([0, len(data)]))
+        known.score(table)
+        return [v.tolist() for v in (known.good[slots], known.n[slots], *known.text.gather(slots), *known.pairs.gather(slots), known.scores[slots], *known.rare.gather(slots))]
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("漢字かな人大小中") for _ in range(4000)) + " a b" for _ in range(30)]
+    first = [seen(t) for t in texts]
+    monkeypatch.setattr(module, "HELD", 200_000)
+    held = []
+    for text, expected in zip(texts, first):
+        assert seen(text) == expected
+        held.append(known.bytes)
+    assert max(held[1:]) < 600_000
