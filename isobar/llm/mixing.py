@@ -9,8 +9,9 @@ the odds of their inclusion, and taken in that order until the words of the sour
 are used up. The document at which they would be exceeded is left out; in its place the
 largest one that still fits is taken, ``FILLERS`` times.
 
-Only sums by source and by bucket of rank are gathered. A source that holds most rows
-is spread over ``BUCKETS`` buckets, of which one has to be put in order.
+Only sums by source and by bucket of rank are gathered, and ``FILLERS`` documents of each
+size that still fits. A source that holds most rows is spread over ``BUCKETS`` buckets,
+of which one has to be put in order.
 """
 
 from __future__ import annotations
@@ -82,6 +83,36 @@ def expected_copies(by_level: DataFrame, plan: DataFrame, most: float) -> DataFr
     return shared.select("source", "level", "source_size", "target", expected.alias("expected"))
 
 
+def _fillers(free: DataFrame, left: DataFrame) -> DataFrame:
+    """(row) of the rows of ``free`` that fill what is ``left`` of the words of their source ``s``, ``FILLERS`` of a source.
+
+    The largest one that fits is taken again and again, of equal sizes the first by rank. What did not fit once does not
+    fit later, so one pass through the sizes in descending order takes the same. ``FILLERS`` rows of each size that
+    is not above what is left are gathered by source.
+    """
+    size_rank = Window.partitionBy("source", "size").orderBy(F.desc("o"), F.desc("d"), F.desc("row"))
+    fitting = (
+        free.join(left, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("left"))
+        .select("source", "left", "size", (-F.col("odds")).alias("o"), (-F.col("doc_id")).alias("d"), "row")
+        .withColumn("nth", F.row_number().over(size_rank)).where(F.col("nth") <= FILLERS)
+    )
+    by_source = fitting.groupBy("source").agg(
+        F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "o", "d", "row")), asc=False).alias("down")
+    )
+    taken = F.aggregate(
+        "down",
+        F.struct(F.col("left").alias("left"), F.array().cast("array<long>").alias("rows")),
+        lambda so_far, one: F.when(
+            (F.size(so_far["rows"]) < FILLERS) & (one["size"] <= so_far["left"]),
+            F.struct(
+                (so_far["left"] - one["size"]).alias("left"), F.concat(so_far["rows"], F.array(one["row"])).alias("rows")
+            ),
+        ).otherwise(so_far),
+        lambda so_far: so_far["rows"],
+    )
+    return by_source.select(F.explode(taken).alias("row"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -149,20 +180,7 @@ def mix(
             F.first("rest", ignorenulls=True).alias("rest"), F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("used")
         ).select(F.col("source").alias("s"), (F.col("rest") - F.col("used")).alias("left")), "left",
     )
-    free = drawn.where("NOT drawn AND odds IS NOT NULL AND size > 0")
-    fillers = None
-    for _ in range(FILLERS):
-        fitting = free.join(left, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("left"))
-        if fillers is not None:
-            fitting = fitting.join(fillers, "row", "left_anti")
-        best = fitting.groupBy("source").agg(
-            F.max(F.struct("size", (-F.col("odds")).alias("o"), (-F.col("doc_id")).alias("d"), "row")).alias("best")
-        )
-        best = settle(best.select("source", "best.size", "best.row"), "filler")
-        fillers = best.select("row") if fillers is None else fillers.unionByName(best.select("row"))
-        left = left.join(best.select("source", "size"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-            "s", (F.col("left") - F.coalesce("size", F.lit(0))).alias("left")
-        )
+    fillers = settle(_fillers(drawn.where("NOT drawn AND odds IS NOT NULL AND size > 0"), left), "fillers")
     filled = drawn.join(fillers.withColumn("fills", F.lit(True)), "row", "left")
     copies = (F.col("certain") + (F.col("drawn") | F.coalesce("fills", F.lit(False))).cast("long")).alias("copies")
     return filled.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))

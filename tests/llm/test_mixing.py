@@ -5,7 +5,7 @@ from compare import mismatch, views
 from odd_rows import NASTY
 from pyspark.sql import functions as F
 
-from isobar.llm import queries, sql
+from isobar.llm import mixing, queries, sql
 from isobar.llm.mixing import mix
 
 
@@ -76,3 +76,43 @@ def test_odd_rows(docs):
     assert all(r.taken <= 2 * r.size for r in result)
     assert mix(docs([])).collect() == []
     assert [r.taken for r in mix(docs([(1, None)])).collect()] == [0]
+
+
+def test_fillers_are_the_largest_that_fit(spark):
+    chance = random.Random(4)
+    lefts = {"a": 90.0, "b": 7.5, None: 300.0, "c": 0.0, "d": None}
+    free = [
+        (chance.choice([*lefts, "e"]), chance.choice([1, 2, 3, 5, 8, 40, 41, 95, chance.randrange(1, 400)]), chance.choice([0.5, 1.0, 2.0]),
+         chance.choice([None, 1, 2, 3]), row)
+        for row in range(600)
+    ]
+    expected = set()
+    for source, left in lefts.items():
+        own = [r for r in free if r[0] == source and left is not None]
+        for _ in range(mixing.FILLERS):
+            fitting = [r for r in own if r[1] <= left]
+            if fitting:
+                best = max(fitting, key=lambda r: (r[1], -r[2], r[3] is not None, -(r[3] or 0), r[4]))
+                own.remove(best)
+                left -= best[1]
+                expected.add(best[4])
+    found = mixing._fillers(
+        spark.createDataFrame(free, "source string, size long, odds double, doc_id long, row long").repartition(5),
+        spark.createDataFrame(list(lefts.items()), "s string, left double"),
+    )
+    rows = [r.row for r in found.collect()]
+    assert len(rows) == len(set(rows)) > mixing.FILLERS and set(rows) == expected
+
+
+def test_more_fillers_are_no_more_steps(docs, monkeypatch):
+    """A step of the driver for each filler made it hold the plans and broadcasts of all of them."""
+    chance, settle = random.Random(5), mixing.settle
+    rows = docs([(i, "w " * chance.choice([1, 2, 30, 70]), "ab"[i % 2]) for i in range(400)])
+    steps = {}
+    for n in (1, 6):
+        labels = []
+        monkeypatch.setattr(mixing, "FILLERS", n)
+        monkeypatch.setattr(mixing, "settle", lambda df, label: labels.append(label) or settle(df, label))
+        mix(rows)
+        steps[n] = labels
+    assert steps[1] == steps[6]
