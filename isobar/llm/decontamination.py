@@ -71,9 +71,9 @@ def _frequencies(batches):
 def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """log((texts + 1) / (texts with the term + 1)) + 1 of every hashed term, from all rows of ``docs``; which are common."""
     counts = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
+    found = counts.toArrow()  # as rows, the counts of all terms would take a multiple of the driver's memory
     n = np.zeros(TERMS)
-    n[found["term"].to_numpy(np.int64)] = found["n"].to_numpy()
+    n[found.column("term").to_numpy()] = found.column("n").to_numpy()
     texts = docs.count()
     return (np.log((texts + 1) / (n + 1)) + 1).astype(np.float32), n > max(OFTEN, COMMON * texts)
 
@@ -141,10 +141,11 @@ def _latent(block: DataFrame, vocabulary: np.ndarray, idf, rank: int) -> np.ndar
         shared = context.broadcast(basis.astype(np.float32))
         total = np.zeros(basis.shape)
         parts = block.select("passage").coalesce(PARTS).mapInArrow(_product(shared_terms, idf, shared), "part binary")
-        for row in parts.collect():
-            total += np.frombuffer(row.part, np.float32).reshape(basis.shape)
+        for part in parts.toArrow().column("part"):
+            total += np.frombuffer(part.as_buffer(), np.float32).reshape(basis.shape)
         basis, values, _ = np.linalg.svd(total, full_matrices=False)
-        shared.unpersist()
+        shared.destroy()
+    shared_terms.destroy()
     return basis[:, : min(rank, int((values > values[0] * 1e-6).sum()))].astype(np.float32)
 
 
@@ -303,13 +304,18 @@ def _models(docs: DataFrame, benchmark: DataFrame, rank: int):
     # Three quarters of the rank on average, so that a block's passages hardly ever outnumber it.
     passages = settle(passages, "passages")
     n = -(-passages.count() // (RANK * 3 // 4))
-    spared = passages.select("passage").mapInArrow(_spared(spark.sparkContext.broadcast(common)), "term long").distinct()
-    common[[row.term for row in spared.collect()]] = False  # at most TERMS
+    shared_common = spark.sparkContext.broadcast(common)
+    spared = passages.select("passage").mapInArrow(_spared(shared_common), "term long").distinct()
+    common[spared.toArrow().column("term").to_numpy()] = False  # at most TERMS
+    shared_common.destroy()
     idf[common] = 0
     shared_idf = spark.sparkContext.broadcast(idf)
     blocks = [passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n)) == i) for i in range(n)]
     for low in range(0, n, BLOCKS):
-        yield spark.sparkContext.broadcast({"idf": idf, "blocks": [_block(b, idf, shared_idf, rank) for b in blocks[low : low + BLOCKS]]})
+        model = {"idf": idf, "blocks": [_block(b, idf, shared_idf, rank) for b in blocks[low : low + BLOCKS]]}
+        W.give_back()
+        yield spark.sparkContext.broadcast(model)
+    shared_idf.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:

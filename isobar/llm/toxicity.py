@@ -259,7 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     model = {"toxic": content, "ordinary": _trained(some.column("window").to_pylist(), ORDINARY_BYTES)}
     known = np.unique(_runs(content))
     model["telling"] = known[np.isin(known, shared.value)]
-    del hot, samples, some
+    del hot, samples, some, often, there, runs, n, also, ratio
+    W.give_back()
     trained = context.broadcast(model)
 
     def measured(batches):

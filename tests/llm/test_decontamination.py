@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 from odd_rows import NASTY
 
-from isobar.llm.decontamination import _common, contaminated, decontaminated
+from isobar.llm.decontamination import _common, contaminated, decontaminated, inverse_frequencies
 
 BENCHMARK = "item_id long, text string, doc_id long, term long"
 
@@ -104,3 +105,17 @@ def test_every_window_of_a_document_is_looked_at(spark, docs):
     found = contaminated(docs(rows), benchmark(spark, items)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(20)}
     assert all(r.common == 0.75 for r in found)
+
+
+def test_the_driver_gathers_frequencies_in_columns(spark, docs):
+    table = docs([(i, " ".join(f"w{j}" for j in range(1000 * i, 1000 * i + 1000))) for i in range(200)])
+    tracemalloc.start()
+    try:
+        idf, common = inverse_frequencies(table)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    seen = idf < np.float32(np.log(201) + 1)
+    assert 100_000 < seen.sum() < 200_000 and not common.any()
+    # A few numbers for each hashed term; rows of Python objects take a multiple.
+    assert most < 16e6
