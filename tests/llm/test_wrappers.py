@@ -1,3 +1,5 @@
+import random
+
 from isobar.llm import wrappers as module
 from isobar.llm.wrappers import Kind, extract, host, induce, main_text, match, outline, parse
 from pyspark.sql import functions as F
@@ -133,3 +135,66 @@ def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
     for kind in (a, b):
         kind.form = None
     assert (match(a, b), match(a, a)) == first
+
+
+def _grown(rng, width, depth, labels):
+    kind = Kind(rng.choice(labels), False)
+    kind.children = [_grown(rng, rng.randint(0, 3), depth - 1, labels) for _ in range(width if depth else 0)]
+    return kind
+
+
+def _brute(a, b):
+    """Nodes that can be paired, from the definition."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + _brute(x, y))
+    return best[-1][-1] + 1
+
+
+def test_many_children_are_matched_each_with_each():
+    rng = random.Random(3)
+    for n, m in ((70, 90), (200, 30), (30, 200), (65, 65)):
+        a, b = (_grown(rng, k, 2, "abcd") for k in (n, m))
+        b.label = a.label
+        score, pairs = match(a, b)
+        assert score == _brute(a, b) == 1 + sum(_brute(a.children[i], b.children[j]) for i, j in pairs)
+        assert all(i < k and j < l for (i, j), (k, l) in zip(pairs, pairs[1:]))
+        assert match(a, a)[0] == match(a, _copied(a))[0] == _brute(a, a)
+
+
+def _copied(kind):
+    copy = Kind(kind.label, kind.noise)
+    copy.children = [_copied(c) for c in kind.children]
+    return copy
+
+
+def test_rows_and_cells_find_the_same_pairs(monkeypatch):
+    rng = random.Random(4)
+    for n in range(200):
+        labels = "abcdef"[:rng.randint(1, 6)]
+        a, b = (_grown(rng, rng.choice((0, 1, 2, 9, 25)), rng.randint(1, 3), labels) for _ in "ab")
+        b.label = a.label
+        if n % 4 == 0:
+            b.children = [c for c in a.children if rng.random() < 0.8] + b.children[:n % 3]
+        found = []
+        for pairs in (10**9, -1):
+            monkeypatch.setattr(module, "PAIRS", pairs)
+            module._scores.clear()
+            found.append((module._paired(a, b), module._paired(b, a), module._paired(a, b, False)[0]))
+        assert found[0] == found[1]
+
+
+def test_pages_of_many_blocks_are_aligned_as_wholes(spark):
+    """A block that some pages have at the start too is not taken for the one at the end, which would leave all others alone."""
+    def page(n, blocks):
+        parts = "".join(f"<h3>Part {i}</h3><p>Text {n} {i}</p>" for i in range(blocks))
+        return f"<body>{'<div class=x>Front</div>' if n % 2 else ''}{parts}<div class=x>End</div></body>"
+
+    rows = [(100 * h + n, f"http://h{h}/{n}", page(n, (20, 60)[h])) for h in range(2) for n in range(12)]
+    result = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    for h in range(2):
+        for n in range(12):
+            assert result[100 * h + n] == "\n\n".join(f"Text {n} {i}" for i in range((20, 60)[h]))
